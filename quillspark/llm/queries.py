@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import pack, split
+from quillspark.llm import pack, secrets, split
 from quillspark.session import table
 
 
@@ -29,6 +29,19 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(text_records(spark, d).where("rec_table = 'sources'")).drop("rec_table").withColumnRenamed("rec_id", "source_id")
 
 
+def _whole_sources(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return table(spark, d, "sources")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(_whole_sources(spark, d))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact_secrets(_whole_sources(spark, d))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return pack.pack_documents(table(spark, d, "documents"))
