@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import pack, secrets, split
+from quillspark.llm import pack, pii, secrets, split
 from quillspark.session import table
 
 
@@ -19,6 +19,28 @@ def text_records(spark: SparkSession, d: str) -> DataFrame:
     return s.unionByName(c)
 
 
+#: The key of the surrogates; a deployment passes its own.
+SURROGATE_KEY = b"change-this-key"
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(text_records(spark, d))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_pii(text_records(spark, d))
+
+
+def p2_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct value's kind with its surrogate; the values themselves stay inside."""
+    return pii.surrogate_table(text_records(spark, d), SURROGATE_KEY).select("kind", "surrogate")
+
+
+def p2_pseudonymised(spark: SparkSession, d: str) -> DataFrame:
+    r = text_records(spark, d)
+    return pii.replace_with_surrogates(r, pii.surrogate_table(r, SURROGATE_KEY))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that the splitter cut."""
     return split.split_oversized(text_records(spark, d), with_content=False).where("position = 0").select("rec_table", "rec_id").distinct()
