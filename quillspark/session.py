@@ -54,3 +54,20 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package's code, once per application, where it isn't installed on them."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quillspark-code-')}/quillspark", "zip", root.parent, root.name)
+    sc.addPyFile(made)
