@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import pack, pii, secrets, split
+from quillspark.llm import boiler, pack, pii, secrets, split
 from quillspark.session import table
 
 
@@ -64,6 +64,14 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact_secrets(_whole_sources(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boiler.boilerplate_lines(_whole_sources(spark, d).where("source_type = 'url'"))
+
+
+def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return boiler.main_text(_whole_sources(spark, d).where("source_type = 'url'"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return pack.pack_documents(table(spark, d, "documents"))
