@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import boiler, pack, pii, secrets, split
+from quillspark.llm import boiler, mojibake, pack, pii, secrets, split
 from quillspark.session import table
 
 
@@ -73,8 +73,20 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack_documents(_whole_documents(spark, d))
+
+
+def _whole_documents(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return pack.pack_documents(table(spark, d, "documents"))
+    return table(spark, d, "documents")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repair_documents(_whole_documents(spark, d)).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repair_documents(_whole_documents(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
