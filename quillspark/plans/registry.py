@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,8 @@ def register(sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    for m in ("journal_queries",):
+        import_module(f"quillspark.plans.{m}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
