@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import boiler, mojibake, pack, pii, secrets, split
+from quillspark.llm import boiler, leak, mojibake, pack, pii, secrets, split
 from quillspark.session import table
 
 
@@ -81,6 +81,15 @@ def _whole_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.find_leaks(_whole_documents(spark, d), table(spark, d, "eval_items"))
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Also passages of 13 words with one word changed, put in or left out."""
+    return leak.find_leaks(_whole_documents(spark, d), table(spark, d, "eval_items"), edits=1)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair_documents(_whole_documents(spark, d)).select("doc_id")
 

@@ -8,4 +8,13 @@ SQL = {
           SELECT 'sources' AS rec_table, id AS rec_id, content FROM sources
           UNION ALL SELECT 'chunks', id, content FROM chunks)
         WHERE length(content) > 0 AND {_EST} > 1000""",
+    "p8_found": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+        iw AS (SELECT item_id, least(13, len(w)) AS m, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') AS t
+          FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - least(13, len(w)), 0) + 2)) AS p FROM e WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT m FROM iw),
+        dw AS (SELECT doc_id, m, array_to_string(w[p : p + m - 1], ' ') AS t
+          FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, sizes WHERE len(w) >= m))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (m, t)""",
 }
