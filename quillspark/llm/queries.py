@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import boiler, leak, mojibake, pack, pii, secrets, split
+from quillspark.llm import boiler, leak, mojibake, neardup, pack, pii, secrets, split
 from quillspark.session import table
 
 
@@ -19,6 +19,21 @@ def text_records(spark: SparkSession, d: str) -> DataFrame:
     return s.unionByName(c)
 
 
+def _keyed(spark: SparkSession, d: str, name: str, key: str, text: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return table(spark, d, name).select(F.lit(name).alias("rec_table"), F.col(key).alias("key"), F.col(text).alias("text"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    s = neardup.duplicate_pairs(_keyed(spark, d, "sources", "id", "content"))
+    return s.unionByName(neardup.duplicate_pairs(_keyed(spark, d, "concepts", "slug", "compiled_truth"), key_similarity=0.7))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every source with its group, so that each group can be kept once."""
+    return neardup.duplicate_groups(_keyed(spark, d, "sources", "id", "content"))
+
+
 #: The key of the surrogates; a deployment passes its own.
 SURROGATE_KEY = b"change-this-key"
 

@@ -17,4 +17,13 @@ SQL = {
         dw AS (SELECT doc_id, m, array_to_string(w[p : p + m - 1], ' ') AS t
           FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, sizes WHERE len(w) >= m))
         SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (m, t)""",
+    "p1_found": """
+        WITH r AS (SELECT 'sources' AS rec_table, id AS key, content AS t FROM sources UNION ALL SELECT 'concepts', slug, compiled_truth FROM concepts),
+        w AS (SELECT DISTINCT rec_table, key, unnest(regexp_extract_all(lower(t), '[a-z0-9]{3,}')) AS word FROM r WHERE t IS NOT NULL),
+        n AS (SELECT rec_table, key, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 20),
+        p AS (SELECT a.rec_table, a.key AS key_a, b.key AS key_b, count(*) AS shared
+          FROM w a JOIN w b ON a.rec_table = b.rec_table AND a.word = b.word AND a.key < b.key GROUP BY ALL)
+        SELECT p.rec_table, key_a, key_b FROM p JOIN n x ON x.rec_table = p.rec_table AND x.key = key_a JOIN n y ON y.rec_table = p.rec_table AND y.key = key_b
+        WHERE shared >= 0.7 * (x.n + y.n - shared) - 1e-9
+          AND (p.rec_table = 'sources' OR 1 - levenshtein(key_a, key_b) / greatest(length(key_a), length(key_b)) >= 0.7 - 1e-9)""",
 }
