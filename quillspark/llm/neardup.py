@@ -1,10 +1,11 @@
 """Near-duplicate records: pairs whose sets of words overlap by at least a threshold, without pairwise comparison.
 
 1. Every record becomes a set of word hashes (words of at least three letters or digits); records with equal sets are one class.
-2. Blocks: a class's less common words are put in hash order, and every `gram` neighbours form a key. Words missing from one side
-   or added to the other break only the keys they touch, at places that are random to the data, so of the many keys of two sets
-   above the threshold some agree: with n words left and overlap J, about n J'^(gram) (J')^(gram-1) of them, J' = 2J / (1 + J).
-   Long sets keep a nested sample of their keys (by powers of two, so that two sets agree on what is kept).
+2. Blocks: words are put in hash order, and neighbours form keys: pairs of the less common words, triples of all words, for small
+   sets pairs of all words. Words missing from one side or added to the other break only the keys they touch, at places that are
+   random to the data: with overlap J, J' = 2J / (1 + J) of the words are shared and some J'^3 of the pairs, J'^5 of the triples of
+   a set; at J = 0.7, of 40 triples and 64 pairs about 15 and 35. Long sets keep a nested sample of their keys (by powers of two,
+   so that two sets agree on what is kept).
 3. Signature trees: within a block, records are leaves with a token bitmap and a size; inner nodes hold the OR of their bitmaps and
    their range of sizes. Two trees (or one with itself) are descended together; a pair of nodes is pruned when the largest overlap
    that its bitmaps and sizes allow is below what the threshold needs. Pairs of records left pass the bitmap's lower bound on the
@@ -34,9 +35,10 @@ from quillspark.session import write_shared
 THRESHOLD, MIN_WORDS = 0.7, 20
 #: A word in more than this share of the classes makes no keys. At most (mean set size) / COMMON words are that common.
 COMMON = 0.05
-GRAM = 2
-#: About as many keys are kept of a long set.
-KEYS = 96
+#: About as many keys of each sort are kept of a long set.
+KEYS, TRIPLES = 64, 40
+#: Two sets must agree on this share of the keys of the one with fewer; at the threshold they agree on about a third.
+SHARE = 0.1
 #: 64-bit words of a bitmap.
 WIDTH = 8
 #: Classes that one block may hold in one task; a larger one is split in chunks. There are at most (all keys) / HOT hot keys.
@@ -48,34 +50,43 @@ _WORD = re.compile(r"[a-z0-9]{3,}")
 
 
 def word_set(text: str) -> np.ndarray:
-    """Sorted hashes of the different words."""
+    """Sorted 32-bit hashes of the different words. Two of n words of a pair share a hash with chance n^2 / 2^33: some 10^-5 for usual texts."""
     words = set(_WORD.findall(text.lower()))
-    return np.sort(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)))
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.uint32, count=len(words)))
 
 
-def block_keys(words: np.ndarray, common: np.ndarray, gram: int = GRAM, keep: int = KEYS) -> np.ndarray:
-    """Keys of a set: runs of `gram` neighbours of its less common words in hash order."""
-    rare = words
-    if len(common):
-        p = np.minimum(np.searchsorted(common, words), len(common) - 1)
-        rare = words[common[p] != words]
-    if len(rare) < 40:  # too few for enough keys: all words, whatever their number of records
-        rare = words
-    if len(rare) < gram:
-        return rare.astype(np.int64)
-    k = rare[: len(rare) - gram + 1].copy()
+def _runs(words: np.ndarray, gram: int, keep: int) -> np.ndarray:
+    """Keys of all runs of `gram` neighbours; of more than `keep`, a nested sample."""
+    if len(words) < gram:
+        return np.zeros(0, dtype=np.uint64)
+    k = words[: len(words) - gram + 1] + np.uint64(gram)
     for i in range(1, gram):
-        k = (k ^ (k >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + rare[i : len(rare) - gram + 1 + i]
+        k = (k ^ (k >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - gram + 1 + i]
     k = (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     shift = max(0, int(math.log2(len(k) / keep)) if len(k) > keep else 0)
-    if shift:
-        k = k[(k >> np.uint64(40)) & np.uint64((1 << shift) - 1) == 0]
-    return np.unique(k).astype(np.int64)
+    return k[(k >> np.uint64(40)) & np.uint64((1 << shift) - 1) == 0] if shift else k
+
+
+def block_keys(words: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Keys of a set: pairs of its less common words, triples of all its words, and of a small set also pairs of all its words.
+
+    Every set makes triples, so two sets meet whatever their share of common words is; small sets make pairs up to half as many
+    words again as they need, so that no two sets fall on different sides of a rule."""
+    words = words.astype(np.uint64)
+    rare = words
+    if len(common):
+        c = common.astype(np.uint64)
+        p = np.minimum(np.searchsorted(c, words), len(c) - 1)
+        rare = words[c[p] != words]
+    parts = [_runs(rare, 2, KEYS), _runs(words, 3, TRIPLES)]
+    if len(words) < 90:
+        parts.append(_runs(words, 2, KEYS) ^ np.uint64(1))
+    return np.unique(np.concatenate(parts)).astype(np.int64)
 
 
 def bitmap(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     out = np.zeros(width, dtype=np.uint64)
-    place = (words >> np.uint64(13)) % np.uint64(width * 64)
+    place = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(width * 64)
     np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
     return out
 
@@ -130,8 +141,8 @@ class SignatureTree:
         return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (empty, empty)
 
 
-def block_candidates(keys: np.ndarray, owner: np.ndarray, bits: np.ndarray, sizes: np.ndarray, t: float, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (positions of records) over all blocks of a partition: keys[e] is held by record owner[e]."""
+def block_candidates(keys: np.ndarray, owner: np.ndarray, bits: np.ndarray, sizes: np.ndarray, t: float, small: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (positions of records) over all blocks of a partition, and in how many blocks each came: keys[e] is held by record owner[e]."""
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -154,11 +165,12 @@ def block_candidates(keys: np.ndarray, owner: np.ndarray, bits: np.ndarray, size
         left.append(own[i])
         right.append(own[j])
     if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.int64),) * 3
     a, b = np.concatenate(left), np.concatenate(right)
-    pair = np.unique(np.minimum(a, b).astype(np.int64) * len(sizes) + np.maximum(a, b))
-    pair = pair[pair // len(sizes) != pair % len(sizes)]
-    return pair // len(sizes), pair % len(sizes)
+    pair, times = np.unique(np.minimum(a, b).astype(np.int64) * len(sizes) + np.maximum(a, b), return_counts=True)
+    ok = pair // len(sizes) != pair % len(sizes)
+    pair = pair[ok]
+    return pair // len(sizes), pair % len(sizes), times[ok]
 
 
 # ---- in Spark -----------------------------------------------------------------------------------------------------------------
@@ -192,12 +204,12 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             count: dict[int, int] = {}
-            w, n = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in b["words"]]) if len(b) else np.zeros(0, dtype=np.uint64), return_counts=True)
+            w, n = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in b["words"]]) if len(b) else np.zeros(0, dtype=np.uint32), return_counts=True)
             yield pd.DataFrame({"w": w.astype(np.int64), "c": n.astype(np.int64)})
 
     # at most (mean set size) / COMMON rows
     common = classes.select("words").mapInPandas(spread, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") > max(2, COMMON * total)).select("w")
-    common_words = np.sort(np.array([r.w for r in common.collect()], dtype=np.int64).astype(np.uint64))
+    common_words = np.sort(np.array([r.w for r in common.collect()], dtype=np.int64).astype(np.uint32))
     parts = max(spark.sparkContext.defaultParallelism, -(-total // PER_PARTITION))
 
     def hot_keys() -> dict[int, int]:
@@ -206,7 +218,7 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
         def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                k, n = np.unique(np.concatenate([block_keys(np.frombuffer(x, dtype=np.uint64), common_words) for x in b["words"]]) if len(b) else np.zeros(0, dtype=np.int64), return_counts=True)
+                k, n = np.unique(np.concatenate([block_keys(np.frombuffer(x, dtype=np.uint32), common_words) for x in b["words"]]) if len(b) else np.zeros(0, dtype=np.int64), return_counts=True)
                 yield pd.DataFrame({"k": k, "c": n.astype(np.int64)})
 
         rows = classes.select("words").mapInPandas(keys, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") > HOT).collect()
@@ -218,8 +230,9 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
         for b in batches:
             rows = []
             for cls, n, x in zip(b["cls"], b["n"], b["words"]):
-                w = np.frombuffer(x, dtype=np.uint64)
+                w = np.frombuffer(x, dtype=np.uint32)
                 ks = block_keys(w, common_words)
+                held = len(ks)
                 if hot and not hot.keys().isdisjoint(ks.tolist()):
                     out = []
                     for k in ks.tolist():
@@ -233,26 +246,27 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 bits = bitmap(w).tobytes()
                 to = (ks % parts).astype(np.int64)
                 for p in np.unique(to).tolist():
-                    rows.append((p, cls, n, bits, ks[to == p].tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "cls", "n", "bits", "ks"])
+                    rows.append((p, cls, n, held, bits, ks[to == p].tobytes()))
+            yield pd.DataFrame(rows, columns=["part", "cls", "n", "held", "bits", "ks"])
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         ks = [np.frombuffer(x, dtype=np.int64) for x in g["ks"]]
         owner = np.repeat(np.arange(len(g)), [len(x) for x in ks])
         bits = np.frombuffer(b"".join(g["bits"]), dtype=np.uint64).reshape(len(g), WIDTH)
-        i, j = block_candidates(np.concatenate(ks), owner, bits, g["n"].to_numpy(dtype=np.int64), threshold)
-        c = g["cls"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(c[i], c[j]), "b": np.maximum(c[i], c[j])})
+        i, j, times = block_candidates(np.concatenate(ks), owner, bits, g["n"].to_numpy(dtype=np.int64), threshold)
+        c, held = g["cls"].to_numpy(), g["held"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(c[i], c[j]), "b": np.maximum(c[i], c[j]), "need": np.maximum(1, SHARE * np.minimum(held[i], held[j])).astype(np.int64), "times": times})
 
-    sent = classes.select("cls", "n", "words").mapInPandas(send, "part int, cls long, n int, bits binary, ks binary")
-    maybe = sent.repartition(parts, "part").groupBy("part").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+    sent = classes.select("cls", "n", "words").mapInPandas(send, "part int, cls long, n int, held int, bits binary, ks binary")
+    met = sent.repartition(parts, "part").groupBy("part").applyInPandas(compare, "a long, b long, need long, times long").where("a <> b")
+    maybe = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
     maybe = write_shared(maybe, "p1-candidates")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
             for x, y in zip(b["wa"], b["wb"]):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                u, v = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(both >= threshold * (len(u) + len(v) - both) - 1e-9)
             yield b.loc[keep, ["a", "b"]]
@@ -264,9 +278,9 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 def links_and_members(records: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(a, b) between classes, and (rec_table, key, cls) of every record with enough words."""
-    sets = write_shared(word_sets(records, min_words).dropDuplicates(["rec_table", "key"]), "p1-sets")
+    sets = write_shared(word_sets(records, min_words), "p1-sets")
     classes = write_shared(sets.select("cls", "n", "words").dropDuplicates(["cls"]), "p1-classes")
-    return write_shared(similar_classes(classes, threshold), "p1-links"), sets.select("rec_table", "key", "cls")
+    return write_shared(similar_classes(classes, threshold), "p1-links"), sets.select("rec_table", "key", "cls").distinct()
 
 
 def duplicate_pairs(records: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, key_similarity: float | None = None) -> DataFrame:

@@ -42,7 +42,7 @@ def test_blocks_find_what_brute_force_finds():
         sets = [d.word_set(x) for x in texts]
         w, c = np.unique(np.concatenate(sets), return_counts=True)
         keys = [d.block_keys(s, w[c > 0.05 * len(sets)]) for s in sets]
-        i, j = d.block_candidates(np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(k) for k in keys]), np.array([d.bitmap(s) for s in sets]), np.array([len(s) for s in sets]), 0.7)
+        i, j, _ = d.block_candidates(np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(k) for k in keys]), np.array([d.bitmap(s) for s in sets]), np.array([len(s) for s in sets]), 0.7)
         got, want = set(zip(i.tolist(), j.tolist())), brute(texts)
         assert len(want) > 100 and len(want - got) <= 0.01 * len(want)
 
