@@ -30,3 +30,93 @@ def component_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Distinct (node, neighbour) in both directions, self-loops once; edges(from_slug, to_slug)."""
+    e = edges.select("from_slug", "to_slug").where("from_slug is not null and to_slug is not null")
+    return e.select(F.col("from_slug").alias("node"), F.col("to_slug").alias("neighbour")).unionByName(e.select(F.col("to_slug").alias("node"), F.col("from_slug").alias("neighbour"))).distinct()
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(slug, degree): edges at either end; a self-loop counts once, parallel relations each."""
+    ends = edges.select(F.explode(F.array_distinct(F.array("from_slug", "to_slug"))).alias("slug")).groupBy("slug").agg(F.count("*").alias("degree"))
+    return nodes.select("slug").join(ends, "slug", "left").select("slug", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def hops_from(edges: DataFrame, start: str, depth: int = 6) -> DataFrame:
+    """(node, hops) of the nodes within `depth` hops, the start itself at 0 even if it has no edge. One frontier join per level."""
+    spark = edges.sparkSession
+    und = undirected(edges).where("node <> neighbour")
+    seen = spark.createDataFrame([(start, 0)], "node string, hops int")
+    front = seen
+    for d in range(1, depth + 1):
+        step = und.join(front.select("node"), "node", "left_semi").select(F.col("neighbour").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        front = materialize(step.withColumn("hops", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def shortest_paths(edges: DataFrame, start: str, depth: int = 6) -> DataFrame:
+    """(node, hops, path): of paths with equal hops the one whose parent is smallest at every step."""
+    spark = edges.sparkSession
+    und = undirected(edges).where("node <> neighbour")
+    seen = spark.createDataFrame([(start, 0, start)], "node string, hops int, path string")
+    front = seen
+    for d in range(1, depth + 1):
+        step = und.join(front.select("node", "path"), "node").groupBy("neighbour").agg(F.min(F.struct("node", "path")).alias("p"))
+        step = step.select(F.col("neighbour").alias("node"), F.concat_ws(" > ", "p.path", "neighbour").alias("path")).join(seen.select("node"), "node", "left_anti")
+        front = materialize(step.select("node", F.lit(d).alias("hops"), "path"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def neighbourhood_edges(edges: DataFrame, centre: str, depth: int = 2) -> DataFrame:
+    """Edges with an end within depth - 1 hops of the centre, each once."""
+    inner = hops_from(edges, centre, depth - 1).select("node")
+    a = edges.join(inner.withColumnRenamed("node", "from_slug"), "from_slug", "left_semi")
+    b = edges.join(inner.withColumnRenamed("node", "to_slug"), "to_slug", "left_semi").select(a.columns)
+    return a.unionByName(b).distinct()
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
+    """(slug, score) on the undirected graph of distinct neighbours: uniform start, mass of nodes without neighbours spread evenly,
+    edge ends that are no nodes dropped. Stops after the round in which the L1 change fell below the tolerance; None: fixed rounds."""
+    v = nodes.select("slug").distinct()
+    n = v.count()
+    if n == 0:
+        return v.withColumn("score", F.lit(0.0))
+    u = undirected(edges).join(v.select(F.col("slug").alias("node")), "node", "left_semi").join(v.select(F.col("slug").alias("neighbour")), "neighbour", "left_semi")
+    links = materialize(u.join(u.groupBy("node").agg(F.count("*").alias("out")), "node").select("node", "neighbour", "out"))
+    score = v.withColumn("score", F.lit(1.0 / n))
+    for r in range(rounds):
+        sent = links.join(score.withColumnRenamed("slug", "node"), "node").groupBy(F.col("neighbour").alias("slug")).agg(F.sum(F.col("score") / F.col("out")).alias("got"))
+        placed = score.join(sent, "slug", "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
+        dangling = score.join(links.select(F.col("node").alias("slug")).distinct(), "slug", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("d"))
+        new = placed.crossJoin(dangling).select("slug", F.col("score").alias("old"), ((1 - damping) / n + damping * (F.col("got") + F.col("d") / n)).alias("score"))  # one row on the right
+        if tolerance is None:
+            score = materialize(new.select("slug", "score")) if r % 4 == 3 else new.select("slug", "score")
+            continue
+        new = materialize(new)
+        change = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        score = new.select("slug", "score")
+        if change < tolerance:
+            break
+    return score
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """(slug, label) by synchronous label propagation: the most frequent label among the neighbours, ties to the own label, then to the smallest."""
+    v = nodes.select("slug").distinct()
+    u = materialize(undirected(edges).where("node <> neighbour").join(v.select(F.col("slug").alias("node")), "node", "left_semi").join(v.select(F.col("slug").alias("neighbour")), "neighbour", "left_semi"))
+    label = v.withColumn("label", F.col("slug"))
+    for _ in range(rounds):
+        votes = u.join(label.select(F.col("slug").alias("neighbour"), "label"), "neighbour").groupBy("node", "label").agg(F.count("*").alias("n"))
+        own = votes.join(label.select(F.col("slug").alias("node"), F.col("label").alias("own")), "node")
+        best = own.groupBy(F.col("node").alias("slug")).agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("label") != F.col("own")).alias("o"), F.col("label").alias("l"))).alias("b"))
+        label = materialize(label.join(best, "slug", "left").select("slug", F.coalesce("b.l", "label").alias("label")))
+    return label
