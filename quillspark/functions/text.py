@@ -102,7 +102,7 @@ PII_CATALOGUE = (
 
 def luhn_valid(digits: Column) -> Column:
     """13 to 19 digits with a correct check digit."""
-    return F.length(digits).between(13, 19) & digits.rlike("^[0-9]+$") & F.luhn_check(digits)
+    return F.length(digits).between(13, 19) & digits.rlike("^[0-9]+$") & F.call_function("luhn_check", digits)
 
 
 def scrub(c: Column, allow: tuple[str, ...] = ()) -> Column:
