@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
 from quillspark.plans.registry import register
-from quillspark.session import table
+from quillspark.session import spread, table
 
 
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     """Chunks once per id."""
-    c = table(spark, d, "chunks")
+    c = spread(table(spark, d, "chunks").select("id", "content", "source_id", "token_count"), "id")
     return c.groupBy(F.col("id").alias("chunk_id")).agg(F.min(F.struct("content", "source_id", "token_count")).alias("x")).select("chunk_id", "x.content", "x.source_id", "x.token_count")
 
 
