@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from quillspark.session import shared_folder
+from quillspark.sources.files import stream_parquet
 
 OPS = ("concept_create", "truth_update", "retire")
 
@@ -197,11 +198,6 @@ def replay(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataF
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     base = f"{shared_folder(spark).rstrip('/')}/journal-{uuid.uuid4().hex}"
     spark.createDataFrame([], UPSERT).write.parquet(f"{base}/state/batch=-1")
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream watches folders
-        stream = reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
-    else:
-        stream = reader.parquet(path)
+    stream = stream_parquet(spark, path, files_per_batch)
     start_state_table(stream, f"{base}/state", f"{base}/checkpoint").awaitTermination()
     return read_state_table(spark, f"{base}/state")

@@ -111,3 +111,10 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     g = c.join(F.broadcast(first), F.contains(F.lower(F.col("content")), F.col("t"))).select("query_id", "chunk_id", F.lit(3).alias("grade"))  # 16 stated queries
     m = R.ranking_metrics(R.tfidf(c, q, 20), g)
     return m.select("query_id", "p1", F.round("p5", 6).alias("p5"), F.round("rr", 6).alias("rr"), F.round("ndcg5", 6).alias("ndcg5"))
+
+
+@register()
+def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """With stemmed terms; the stemmer is tested on its published examples."""
+    h = R.bm25(chunk_rows(spark, d).select("chunk_id", "content"), item_queries(spark, d), 20, stemmed=True)
+    return h.select("query_id", "chunk_id", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -293,3 +293,52 @@ def cursor_page(spark: SparkSession, d: str) -> DataFrame:
 def scope_overview(spark: SparkSession, d: str) -> DataFrame:
     s, c = table(spark, d, "scopes"), table(spark, d, "concepts").groupBy(F.col("scope_kind").alias("kind"), F.col("scope_key").alias("key")).agg(F.count("*").alias("concepts"))
     return s.join(c, ["kind", "key"], "left").select("kind", "key", F.coalesce("label", "key").alias("label"), F.coalesce("concepts", F.lit(0)).alias("concepts"))
+
+
+@register("""WITH c AS (SELECT slug, lower(compiled_truth) AS low FROM concepts), f AS (SELECT slug AS mentions, slug AS form FROM concepts UNION SELECT slug, replace(slug, '-', ' ') FROM concepts)
+SELECT DISTINCT slug, mentions FROM c JOIN f ON slug <> mentions AND contains(low, form)""")
+def auto_links(spark: SparkSession, d: str) -> DataFrame:
+    return folds.auto_links(table(spark, d, "concepts").select("slug", F.col("compiled_truth").alias("truth")))
+
+
+_STEPS = "array<struct<n:long,tool:string,args:map<string,string>,result_summary:string,result_ok:boolean,elapsed_ms:long>>"
+
+
+@register("""WITH t AS (SELECT id, content FROM sources WHERE source_type = 'trajectory' AND json_valid(content)), s AS (SELECT id, unnest(CAST(json_extract(content, '$.steps') AS JSON[])) AS x FROM t)
+SELECT id, CAST(json_extract_string(x, '$.n') AS BIGINT) AS n, json_extract_string(x, '$.tool') AS tool, json_extract_string(x, '$.args.cmd') AS cmd, CASE WHEN length(json_extract_string(x, '$.result_summary')) > 500 THEN substr(json_extract_string(x, '$.result_summary'), 1, 497) || '...' ELSE json_extract_string(x, '$.result_summary') END AS summary, CAST(json_extract_string(x, '$.elapsed_ms') AS BIGINT) AS elapsed FROM s""")
+def trajectory_steps(spark: SparkSession, d: str) -> DataFrame:
+    """One row per step of the trajectories that are whole; long summaries are cut to 497 characters and three dots."""
+    from quillspark.operators.journal import complete_json
+
+    t = table(spark, d, "sources").where("source_type = 'trajectory'").where(complete_json(F.col("content")))
+    s = t.select("id", F.explode(F.from_json("content", f"steps {_STEPS}")["steps"]).alias("x")).select("id", "x.*")
+    long = F.length("result_summary") > 500
+    return s.select("id", "n", "tool", F.col("args")["cmd"].alias("cmd"), F.when(long, F.concat(F.substring("result_summary", 1, 497), F.lit("..."))).otherwise(F.col("result_summary")).alias("summary"), F.col("elapsed_ms").alias("elapsed"))
+
+
+@register("SELECT slug, coalesce(compiled_truth, summary) AS truth, score FROM concepts WHERE retired_at IS NULL AND coalesce(compiled_truth, summary) IS NOT NULL")
+def known_skills(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "concepts").where("retired_at is null").select("slug", F.coalesce("compiled_truth", "summary").alias("truth"), "score").where("truth is not null")
+
+
+@register(r"""WITH r AS (SELECT DISTINCT unnest(regexp_extract_all(content, 'git@[A-Za-z0-9.\-]+:[A-Za-z0-9_./\-]+')) AS remote FROM sources)
+SELECT remote, lower('https://' || regexp_replace(regexp_replace(substr(remote, 5), ':', '/'), '\.git$', '')) AS url FROM r""")
+def git_remotes(spark: SparkSession, d: str) -> DataFrame:
+    """Remotes in the texts, in one spelling."""
+    r = table(spark, d, "sources").select(F.explode(F.regexp_extract_all("content", F.lit(r"git@[A-Za-z0-9.\-]+:[A-Za-z0-9_./\-]+"), F.lit(0))).alias("remote")).distinct()
+    return r.select("remote", F.lower(F.concat(F.lit("https://"), F.regexp_replace(F.regexp_replace(F.substring("remote", 5, 10_000), "^([^:]*):", "$1/"), r"\.git$", ""))).alias("url"))
+
+
+@register(f"""WITH {_LOG} SELECT strftime(time_bucket(INTERVAL 1 HOUR, timestamp), '%Y-%m-%d %H:%M:%S') AS start, lower(tool_name) AS tool, count(*) AS calls, CAST(sum(skill_hit) AS BIGINT) AS hits, CAST(coalesce(sum(tokens_spent), 0) AS BIGINT) AS tokens FROM query_log GROUP BY 1, 2""".replace(f"WITH {_LOG} ", ""))
+def stream_call_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The whole log through the windowed stream; the last state of every window."""
+    import uuid
+
+    from quillspark.session import shared_folder
+    from quillspark.sources.files import stream_parquet
+    from quillspark.streaming import jobs
+
+    base = f"{shared_folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    jobs.write_batches(jobs.call_windows(stream_parquet(spark, f"{d}/query_log.parquet")), f"{base}/out", f"{base}/checkpoint", mode="update").awaitTermination()
+    rows = spark.read.parquet(f"{base}/out").withColumn("k", F.row_number().over(W.partitionBy("start", "tool").orderBy(F.desc("batch"))))
+    return rows.where("k = 1").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "tool", "calls", "hits", F.coalesce("tokens", F.lit(0)).alias("tokens"))

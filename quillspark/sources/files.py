@@ -83,3 +83,12 @@ def graph_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select(F.lit(0).alias("part"), F.format_string('  "%s" [label="%s"];', esc("slug"), esc("name")).alias("line"))
     e = edges.select(F.lit(1).alias("part"), F.format_string('  "%s" -> "%s" [label="%s"];', esc("from_slug"), esc("to_slug"), esc("relation")).alias("line"))
     return n.unionByName(e)
+
+
+def stream_parquet(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """A Parquet file or folder as a stream; a stream watches folders, so a single file is taken by its name."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
