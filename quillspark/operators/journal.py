@@ -17,14 +17,19 @@ payload text); an empty journal gives no concept.
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from quillspark.session import shared_folder
 from quillspark.sources.files import stream_parquet
 
+# the runner of the keyed state starts before files sent to the executors are on its path, so its code travels with it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OPS = ("concept_create", "truth_update", "retire")
 
 
