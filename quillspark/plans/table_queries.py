@@ -342,3 +342,48 @@ def stream_call_windows(spark: SparkSession, d: str) -> DataFrame:
     jobs.write_batches(jobs.call_windows(stream_parquet(spark, f"{d}/query_log.parquet")), f"{base}/out", f"{base}/checkpoint", mode="update").awaitTermination()
     rows = spark.read.parquet(f"{base}/out").withColumn("k", F.row_number().over(W.partitionBy("start", "tool").orderBy(F.desc("batch"))))
     return rows.where("k = 1").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "tool", "calls", "hits", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+@register(f"WITH {_LOG} SELECT id, lower(tool_name) AS tool, strftime(timestamp, '{_STAMP}') AS at FROM log ORDER BY timestamp DESC, id DESC, tool LIMIT 50")
+def recent_queries(spark: SparkSession, d: str) -> DataFrame:
+    q = telemetry.calls(table(spark, d, "query_log")).select("id", F.lower("tool_name").alias("tool"), "timestamp")
+    return q.orderBy(F.desc("timestamp"), F.desc("id"), "tool").limit(50).select("id", "tool", stamp("timestamp", "at"))
+
+
+@register("SELECT DISTINCT kind, key FROM (SELECT kind, key FROM scopes WHERE NOT (kind = 'codebase' AND starts_with(key, 'local-')) UNION ALL SELECT 'personal', 'me')")
+def scope_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Scopes that may be shared, and the personal one."""
+    s = table(spark, d, "scopes").where("not (kind = 'codebase' and startswith(key, 'local-'))").select("kind", "key")
+    return s.union(spark.createDataFrame([("personal", "me")], "kind string, key string")).distinct()
+
+
+@register("SELECT to_slug AS slug, from_slug, relation, weight FROM (SELECT DISTINCT to_slug, from_slug, relation, weight FROM edges) QUALIFY row_number() OVER (PARTITION BY to_slug ORDER BY weight DESC, from_slug, relation) <= 5")
+def backlinks(spark: SparkSession, d: str) -> DataFrame:
+    """The five heaviest edges into every concept."""
+    e = table(spark, d, "edges").select(F.col("to_slug").alias("slug"), "from_slug", "relation", "weight").distinct()
+    w = W.partitionBy("slug").orderBy(F.desc("weight"), "from_slug", "relation")
+    return e.withColumn("n", F.row_number().over(w)).where("n <= 5").drop("n")
+
+
+@register("""SELECT (SELECT count(*) FROM sources) AS sources, (SELECT count(DISTINCT id) FROM chunks) AS chunks, (SELECT count(*) FROM concepts) AS concepts, (SELECT count(*) FROM concepts WHERE retired_at IS NULL) AS active,
+(SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges) / greatest((SELECT count(*) FROM concepts), 1), 6) AS edges_per_concept""")
+def status_overview(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "sources").agg(F.count("*").alias("sources"))
+    k = table(spark, d, "chunks").agg(F.countDistinct("id").alias("chunks"))
+    c = table(spark, d, "concepts").agg(F.count("*").alias("concepts"), F.count(F.when(F.col("retired_at").isNull(), 1)).alias("active"))
+    e = table(spark, d, "edges").agg(F.count("*").alias("edges"))
+    one = s.crossJoin(k).crossJoin(c).crossJoin(e)  # single rows
+    return one.withColumn("edges_per_concept", F.round(F.col("edges") / F.greatest("concepts", F.lit(1)), 6))
+
+
+@register("""WITH l AS (SELECT slug, source_id, max(weight) AS relevance FROM (SELECT from_slug AS slug, source_id, weight FROM edges UNION ALL SELECT to_slug, source_id, weight FROM edges) WHERE source_id IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY slug ORDER BY relevance DESC, source_id) <= 5),
+k AS (SELECT source_id, id, position FROM (SELECT DISTINCT source_id, id, position FROM chunks) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY position, id) <= 8)
+SELECT slug, source_id, id AS chunk_id, position FROM t JOIN k USING (source_id)""")
+def enrichment_context(spark: SparkSession, d: str) -> DataFrame:
+    """For every concept its five most relevant sources, with their first eight chunks."""
+    e = table(spark, d, "edges").where("source_id is not null")
+    ends = e.select(F.explode(F.array("from_slug", "to_slug")).alias("slug"), "source_id", "weight")
+    links = ends.groupBy("slug", "source_id").agg(F.max("weight").alias("relevance"))
+    top = links.withColumn("n", F.row_number().over(W.partitionBy("slug").orderBy(F.desc("relevance"), "source_id"))).where("n <= 5").select("slug", "source_id")
+    return top.join(first_chunks(spark, d), "source_id").select("slug", "source_id", F.col("id").alias("chunk_id"), "position")
