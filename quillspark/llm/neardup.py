@@ -9,7 +9,8 @@
 3. Signature trees: within a block, records are leaves with a token bitmap and a size; inner nodes hold the OR of their bitmaps and
    their range of sizes. Two trees (or one with itself) are descended together; a pair of nodes is pruned when the largest overlap
    that its bitmaps and sizes allow is below what the threshold needs. Pairs of records left pass the bitmap's lower bound on the
-   difference, then the exact comparison of their sets.
+   difference, for long sets also that of a bitmap as wide as their size asks for, then the exact comparison of their sets. Every
+   pair that meets in a single key gets this far; the bounds leave out only pairs below the threshold.
 
 Scale: bitmaps go to partitions, not to blocks, so a record is sent once per partition that holds any of its keys; a key with more
 than `HOT` classes is split into chunks, and pairs of chunks are compared in separate tasks. The only thing broadcast is the list of
@@ -37,8 +38,6 @@ THRESHOLD, MIN_WORDS = 0.7, 20
 COMMON = 0.05
 #: About as many keys of each sort are kept of a long set.
 KEYS, TRIPLES = 64, 40
-#: Two sets must agree on this share of the keys of the one with fewer; at the threshold they agree on about a third.
-SHARE = 0.1
 #: 64-bit words of a bitmap.
 WIDTH = 8
 #: Classes that one block may hold in one task; a larger one is split in chunks. There are at most (all keys) / HOT hot keys.
@@ -91,6 +90,29 @@ def bitmap(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return out
 
 
+def wide_bitmap(words: np.ndarray) -> np.ndarray:
+    """Bitmap of a set that fills the usual one, with four to eight bits a word; empty for the others."""
+    n = len(words)
+    return bitmap(words, 1 << math.ceil(math.log2(4 * n / 64))) if 4 * n > WIDTH * 64 else np.zeros(0, dtype=np.uint64)
+
+
+def wide_bound(i: np.ndarray, j: np.ndarray, wide: list[np.ndarray], sizes: np.ndarray, t: float, step: int = 50_000) -> np.ndarray:
+    """Whether the wide bitmaps of records i[e] and j[e] allow the threshold; the wider of two is folded. Records without one pass."""
+    width = np.array([len(w) for w in wide], dtype=np.int64)
+    least = np.minimum(width[i], width[j])
+    ok = np.ones(len(i), dtype=bool)
+    for n in np.unique(least[least > 0]).tolist():
+        at = np.flatnonzero(least == n)
+        own, place = np.unique(np.concatenate((i[at], j[at])), return_inverse=True)
+        bits = np.array([np.bitwise_or.reduce(wide[k].reshape(-1, n)) for k in own.tolist()])
+        a, b = place[: len(at)], place[len(at) :]
+        for lo in range(0, len(at), step):
+            e = slice(lo, lo + step)
+            differ = np.bitwise_count(bits[a[e]] ^ bits[b[e]]).sum(axis=1, dtype=np.int64)
+            ok[at[e]] = differ <= (1 - t) / (1 + t) * (sizes[i[at[e]]] + sizes[j[at[e]]]) + 1e-9
+    return ok
+
+
 # ---- signature trees ----------------------------------------------------------------------------------------------------------
 
 
@@ -232,7 +254,6 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
             for cls, n, x in zip(b["cls"], b["n"], b["words"]):
                 w = np.frombuffer(x, dtype=np.uint32)
                 ks = block_keys(w, common_words)
-                held = len(ks)
                 if hot and not hot.keys().isdisjoint(ks.tolist()):
                     out = []
                     for k in ks.tolist():
@@ -243,23 +264,24 @@ def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
                             c = cls % m
                             out += [xxhash.xxh3_64_intdigest(f"{k}/{min(c, j)}/{max(c, j)}") - (1 << 63) for j in range(m)]
                     ks = np.array(out, dtype=np.int64)
-                bits = bitmap(w).tobytes()
+                bits, wide = bitmap(w).tobytes(), wide_bitmap(w).tobytes()
                 to = (ks % parts).astype(np.int64)
                 for p in np.unique(to).tolist():
-                    rows.append((p, cls, n, held, bits, ks[to == p].tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "cls", "n", "held", "bits", "ks"])
+                    rows.append((p, cls, n, bits, wide, ks[to == p].tobytes()))
+            yield pd.DataFrame(rows, columns=["part", "cls", "n", "bits", "wide", "ks"])
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         ks = [np.frombuffer(x, dtype=np.int64) for x in g["ks"]]
         owner = np.repeat(np.arange(len(g)), [len(x) for x in ks])
         bits = np.frombuffer(b"".join(g["bits"]), dtype=np.uint64).reshape(len(g), WIDTH)
-        i, j, times = block_candidates(np.concatenate(ks), owner, bits, g["n"].to_numpy(dtype=np.int64), threshold)
-        c, held = g["cls"].to_numpy(), g["held"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(c[i], c[j]), "b": np.maximum(c[i], c[j]), "need": np.maximum(1, SHARE * np.minimum(held[i], held[j])).astype(np.int64), "times": times})
-
-    sent = classes.select("cls", "n", "words").mapInPandas(send, "part int, cls long, n int, held int, bits binary, ks binary")
-    met = sent.repartition(parts, "part").groupBy("part").applyInPandas(compare, "a long, b long, need long, times long").where("a <> b")
-    maybe = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
+        sizes = g["n"].to_numpy(dtype=np.int64)
+        i, j, _ = block_candidates(np.concatenate(ks), owner, bits, sizes, threshold)
+        ok = wide_bound(i, j, [np.frombuffer(x, dtype=np.uint64) for x in g["wide"]], sizes, threshold)
+        c, i, j = g["cls"].to_numpy(), i[ok], j[ok]
+        return pd.DataFrame({"a": np.minimum(c[i], c[j]), "b": np.maximum(c[i], c[j])})
+
+    sent = classes.select("cls", "n", "words").mapInPandas(send, "part int, cls long, n int, bits binary, wide binary, ks binary")
+    maybe = sent.repartition(parts, "part").groupBy("part").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
     maybe = write_shared(maybe, "p1-candidates")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -76,3 +76,24 @@ def test_key_similarity(spark):
     t = " ".join(f"word{i}" for i in range(30))
     df = spark.createDataFrame([("c", "add-route", t), ("c", "add-routes", t + " more"), ("c", "quite-other", t)], "rec_table string, key string, text string")
     assert [tuple(r) for r in d.duplicate_pairs(df, key_similarity=0.7).collect()] == [("c", "add-route", "add-routes")]
+
+
+def test_long_texts_of_a_template(spark):
+    """Shared words are common, edited words rare: pairs at J = 0.7 agree on few keys of those they hold."""
+    texts, names = [], []
+    for t in range(10):
+        for i in range(12):
+            texts.append(" ".join([f"template{t}x{k}" for k in range(593)] + [f"own{t}x{i}x{k}" for k in range(127)]))
+            names.append(f"{t}-{i:02d}")
+    df = spark.createDataFrame([("sources", k, x) for k, x in zip(names, texts)], "rec_table string, key string, text string")
+    want = {(names[i], names[j]) for i, j in brute(texts)}
+    assert len(want) == 660 and {(r.key_a, r.key_b) for r in d.duplicate_pairs(df).collect()} == want
+
+
+def test_wide_bound_rules_nothing_out_wrongly():
+    texts = corpus(5, 120, (200, 420), 8000)
+    sets = [d.word_set(x) for x in texts]
+    i, j = np.triu_indices(len(sets), 1)
+    ok = d.wide_bound(i, j, [d.wide_bitmap(s) for s in sets], np.array([len(s) for s in sets]), 0.7)
+    want = brute(texts)
+    assert len(want) > 20 and want <= set(zip(i[ok].tolist(), j[ok].tolist())) and ok.mean() < 0.5
