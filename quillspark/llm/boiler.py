@@ -4,8 +4,9 @@ Each page is cut into its containers: a line, its tag with the class generalised
 one (heading, item, quotation, row). A container's path is the host, that generalised tag and class, and the line's text with the
 host's name, digits and link targets generalised. A page scores its containers by form: sentences, headings, quotations and tables
 speak for the body; links, bare labels and menus against it. Over all pages of a host, and over all hosts, the paths are voted on: a
-path seen under several titles, mostly outside the body, is boilerplate wherever it comes, also in the middle of a body. Pages are
-then extracted again with the winning paths.
+path seen under several titles, mostly outside the body, is boilerplate wherever it comes, also in the middle of a body. The
+containers of a host that have a class, by generalised tag and class alone, are voted on too, whatever their text is: one whose lines are nearly all
+outside the body or boilerplate by form takes its sentences with it. Pages are then extracted again with the winning paths.
 
 Scale: lines travel as 64-bit keys without text; votes are pre-aggregated per (host, path, title), so a hot host is spread over
 its paths. Nothing is broadcast or collected.
@@ -29,6 +30,8 @@ from quillspark.session import write_shared
 
 #: A path is voted out when it comes under so many titles of a host, or at so many hosts, and so often outside the body.
 MIN_TITLES, MIN_HOSTS, OUTSIDE = 2, 3, 0.5
+#: A host's container (generalised tag and class) decides for its lines when so many of them speak for one side.
+CONTAINER = 0.8
 
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)/?>")
 _CLASS = re.compile(r"class\s*=\s*[\"']?([^\"'>\s]+)")
@@ -171,15 +174,17 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = xxhash.xxh3_64_intdigest((title or "").lower().encode("utf-8", "surrogatepass")) - (1 << 63)
             for n, form, path, outside in score(content, title, url):
                 named = "\x01" in path
-                text = path.partition("|")[2]
-                rows.append((i, host, t, n, form, _key(text), outside, named))
+                tag, _, text = path.partition("|")
+                box = _key(tag) if "." in tag else None  # a bare tag such as li says too little
+                rows.append((i, host, t, n, form, _key(text), outside, named, box))
                 words = text.split(" ") if not host and form == SENTENCE else ()
                 if 2 < len(words) <= 16:  # the site's name isn't known: try each word as its place
                     for w in range(len(words)):
                         core = words[w].strip(".,;:!?")
                         if core:
-                            rows.append((i, host, t, n, PROBE, _key(" ".join([*words[:w], words[w].replace(core, "\x01"), *words[w + 1 :]])), outside, True))
-        yield pd.DataFrame(rows, columns=["id", "host", "title", "line_no", "form", "path", "outside", "named"])
+                            rows.append((i, host, t, n, PROBE, _key(" ".join([*words[:w], words[w].replace(core, "\x01"), *words[w + 1 :]])), outside, True, None))
+        out = pd.DataFrame(rows, columns=["id", "host", "title", "line_no", "form", "path", "outside", "named", "box"])
+        yield out.astype({"box": "Int64"})
 
 
 def _key(text: str) -> int:
@@ -198,11 +203,19 @@ def vote(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def vote_containers(lines: DataFrame) -> DataFrame:
+    """(host, box) of the containers whose lines are boilerplate: under several titles, nearly all outside the body or boilerplate by form."""
+    away = (F.col("outside") | (F.col("form") == BOILER)).cast("int")
+    per_title = lines.where("box is not null").groupBy("host", "box", "title").agg(F.count("*").alias("n"), F.sum(away).alias("out"))
+    per_host = per_title.groupBy("host", "box").agg(F.count("*").alias("titles"), F.sum("n").alias("n"), F.sum("out").alias("out"))
+    return per_host.where((F.col("titles") >= MIN_TITLES) & (F.col("out") >= CONTAINER * F.col("n"))).select("host", "box")
+
+
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
     """(source_id, line_no) of every line that is not the body, of pages(id, url, title, content)."""
     lines = write_shared(
         pages.select("id", "url", "title", "content").where("content is not null and content <> ''").mapInPandas(
-            _lines, "id string, host string, title long, line_no long, form int, path long, outside boolean, named boolean"
+            _lines, "id string, host string, title long, line_no long, form int, path long, outside boolean, named boolean, box long"
         ),
         "p5-lines",
     )
@@ -211,6 +224,7 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
     out = (
         lines.where(F.col("form") == BOILER).select("id", "line_no")
         .unionByName(doubtful.join(by_host, ["host", "path"], "left_semi").select("id", "line_no"))
+        .unionByName(doubtful.join(vote_containers(lines), ["host", "box"], "left_semi").select("id", "line_no"))
         .unionByName(lines.where(F.col("form").isin(SENTENCE, PROBE)).join(by_all, "path", "left_semi").select("id", "line_no"))
     )
     return out.select(F.col("id").alias("source_id"), "line_no").distinct()

@@ -38,3 +38,16 @@ def test_forms():
     assert boiler.strip_tags('<div class="c-5f0b">x</div>')[1] == "div.c-*"
     rows = boiler.score("A page\r\n```\ncode\n```\n> said so\n[10:20] Ann: hello", "A page", None)
     assert [r[1] for r in rows] == [0, 0, 0, 0, 2, 2]
+
+
+def test_containers_are_voted_on(spark):
+    """Teasers in a container of their own, with another text on each page, once within the body."""
+    pages = []
+    for i in range(6):
+        title = f"Notes on things {'abcdef'[i]}"
+        body = [f'<p class="text">Paragraph {w} of page {"uvwxyz"[i]} is a sentence about something {w}{"klmnop"[i]} that nobody else has, and it goes on until it is long enough to be sure of it.</p>' for w in ("one", "two")]
+        tease = f'<div class="teaser-{i}">Readers of {"uvwxyz"[i]} also enjoy the {"klmnop"[i]} story.</div>'
+        pages.append((f"p{i}", f"https://acme.test/{i}", title, "\n".join([title, *(body if i else [body[0], tease, body[1]]), *([tease] if i else [])])))
+    df = spark.createDataFrame(pages, "id string, url string, title string, content string")
+    got = {(r.source_id, r.line_no) for r in boiler.boilerplate_lines(df).collect()}
+    assert got == {("p0", 3)} | {(f"p{i}", 4) for i in range(1, 6)}
