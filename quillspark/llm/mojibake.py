@@ -1,10 +1,12 @@
 """Text garbled by a wrong encoding: found, and restored where nothing was lost.
 
 1. Near-twins: pieces of text (words, and for scripts without ASCII letters runs of words) are keyed by what is left when non-ASCII
-   characters are stripped, together with the lengths of what was stripped where little is left. Rare forms are joined with the
-   most frequent forms of their key.
+   characters are stripped, together with the lengths of what was stripped where little is left. Every form is joined with all forms
+   that a change of encoding predicts for it; ASCII stays as it is under each of them, so these have its key.
 2. Transformations: the twins are aligned at the ASCII they share, giving pairs (garbled run, clean run). A pair votes for every
-   change of encoding (written in A, read as B) that turns the clean run into the garbled one. Changes with enough different pairs
+   change of encoding (written in A, read as B) that turns the clean run into the garbled one. Which of two is the garbled one is told
+   by the change: text written as UTF-8 has bytes that fit, of code pages the detector must turn the one into the other; where it
+   can't tell, the rarer one is taken as garbled. Changes with enough different pairs
    are learned; their number is bounded by the list of encodings.
 3. The learned changes are applied to all records: stretches that a change explains, and that cannot be text as they stand, are
    found and turned back, again and again for text garbled more than once.
@@ -20,14 +22,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from quillspark.session import write_shared
 
 #: Encodings that text is commonly written in or read as.
 ENCODINGS = ("cp1250", "cp1251", "cp1252", "cp437", "cp850", "cp852", "cp866", "iso8859-2", "iso8859-5", "koi8-r", "latin-1", "mac-roman", "utf-8")
 #: A change is learned from at least so many different aligned pairs.
 MIN_PAIRS = 2
-#: Rare forms are aligned with so many of the most frequent forms of their key; this only bounds what is learned from, not what is repaired.
-TWINS = 12
 
 _NON = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"\d+")
@@ -149,12 +151,31 @@ def agreed(form: str, twin: str) -> tuple[list[tuple[str, str]], set[str]]:
     return pairs, common
 
 
+def predicted(twin: str) -> set[str]:
+    """All that changes of encoding make of a form and that could be a form: those that leave it or lose signs to ASCII are not."""
+    out = {garble(twin, w, r) for w, r in CHANGES}
+    return {x for x in out if x and x != twin and not x.isascii()}
+
+
+def _predictions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(x, t, m) for t, m in zip(b["form"], b["n"]) for x in predicted(t)], columns=["form", "twin", "m"])
+
+
+def directed(form: str, twin: str, change: str) -> bool:
+    """Whether the change itself tells that the form is the garbled one of the two."""
+    w, r = change.split(">")
+    return w == "utf-8" or _changes(((w, r),))[0].fix(form)[0] == twin
+
+
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = {}
-        for form, twin in zip(b["form"], b["twin"]):
+        for form, twin, n, m in zip(b["form"], b["twin"], b["n"], b["m"]):
             pairs, common = agreed(form, twin)
             for t in common:
+                if not directed(form, twin, t) and (n >= m or directed(twin, form, ">".join(t.split(">")[::-1]))):
+                    continue
                 for x, y in pairs:
                     rows[(t, x, y)] = None
         yield pd.DataFrame(list(rows), columns=["change", "x", "y"])
@@ -163,9 +184,9 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn(docs: DataFrame, min_pairs: int = MIN_PAIRS) -> list[tuple[str, str]]:
     """Changes of encoding seen in docs(text), most voted first. What comes to the driver is bounded by the number of changes."""
     forms = docs.select("text").where("text is not null").mapInPandas(_forms, "key string, form string, n long").groupBy("key", "form").agg(F.sum("n").alias("n"))
-    top = W.partitionBy("key").orderBy(F.desc("n"), "form")
-    twins = forms.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= TWINS).select("key", F.col("form").alias("twin"), F.col("n").alias("m"))
-    pairs = forms.join(twins, "key").where("n < m").select("form", "twin").mapInPandas(_votes, "change string, x string, y string").distinct()
+    forms = write_shared(forms.groupBy("form").agg(F.max("n").alias("n")), "p9-forms")
+    twins = forms.mapInPandas(_predictions, "form string, twin string, m long")
+    pairs = forms.join(twins, "form").mapInPandas(_votes, "change string, x string, y string").distinct()
     # two code pages may explain the same pairs: a change must have pairs of its own or more than any rival of its reading
     rows = pairs.groupBy("change").agg(F.count("*").alias("pairs"), F.sum(F.length("y")).alias("signs")).where(F.col("pairs") >= min_pairs).collect()
     return [tuple(r["change"].split(">")) for r in sorted(rows, key=lambda r: (-r["pairs"], -r["signs"], r["change"]))]
@@ -316,7 +337,7 @@ def _vowels(y: str) -> bool:
     return len(y) < 4 or any(c in "аеёиоуыэюяАЕЁИОУЫЭЮЯ" for c in y)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=256)
 def _changes(learned: tuple[tuple[str, str], ...]) -> tuple[Change, ...]:
     # text written as UTF-8 first: its stretches are exact, those of code pages are judged by form
     return tuple(sorted((Change(w, r) for w, r in learned), key=lambda c: not c.wide))

@@ -43,3 +43,15 @@ def test_learns_from_near_twins(spark):
     out = {r.doc_id: (r.text, r.lost) for r in m.repair_documents(df).collect()}
     assert set(out) == {10, 11, 14} and out[10] == (good, False) and out[11][0].endswith("La señal única") and out[14][1]
     assert m.repair_documents(df.where("false")).count() == 0
+
+
+def test_learns_from_every_form_and_from_frequent_garbling(spark):
+    """A key with more than a dozen frequent forms, and garbled text that outnumbers the clean."""
+    words = [f"w{a}rd" for a in "áéíóúñäëïöüàèìòù"]
+    rows = [" ".join(words)] * 9 + [f"w{c}rd" for c in "âê"] + [m.garble(f"w{c}rd", "utf-8", "cp1252") for c in "âê"] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert ("utf-8", "cp1252") in m.learn(df)
+    ru = ["Чтобы удалить узлы", "сервер сжимает журнал", "каждый раздел содержит"]
+    df = spark.createDataFrame(list(enumerate(ru + [m.garble(t, "cp1251", "cp1252") for t in ru] * 2)), "doc_id long, text string")
+    learned = m.learn(df)
+    assert ("cp1251", "cp1252") in learned and ("cp1252", "cp1251") not in learned
