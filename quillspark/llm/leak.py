@@ -4,8 +4,9 @@ Every window of `window` words of an item (the whole item, if it is shorter) is
 walk writes the current word and moves on or stays by a random bit of (j, word), so that few edits leave most of the written
 positions equal. Windows of a document are embedded the same way, all starts of a batch at once. Each repetition of the LSH
 samples positions of the embedding; windows that agree on a sample are candidates, verified by their exact edit distance in words.
-With no edits allowed, equal windows have equal embeddings, so one repetition finds all of them. For e edits the number of
-repetitions follows from the target recall and from the agreement measured on the items themselves under random edits.
+With no edits allowed, equal windows have equal embeddings, so one repetition finds all of them. For e edits every repetition
+walks by random bits of its own, and the number of repetitions of each size of window is the least whose recall, measured on
+windows of the items under random edits, reaches the target; a window of no more words than edits is found only unedited.
 
 Scale: the items are the query set; their sampled keys go to the tasks in blocks of a checked size, the documents are read once
 per block and never shuffled. A document's candidates stay in its batch. Defined cases: null or empty text has no words; an item
@@ -42,6 +43,11 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
+def sampled(size: int, edits: int) -> int:
+    """Positions to sample for a size of window: with edits fewer of a short one, so that some samples miss the edited word."""
+    return SAMPLED if edits == 0 else max(1, SAMPLED * size // WINDOW)
+
+
 def samples(steps: int, repetitions: int, k: int = SAMPLED) -> list[list[int]]:
     """Sampled steps of every repetition. The first repetition is spread evenly over the walk."""
     rng = random.Random(SEED)
@@ -50,8 +56,9 @@ def samples(steps: int, repetitions: int, k: int = SAMPLED) -> list[list[int]]:
     return out[:repetitions]
 
 
-def sampled_keys(h: np.ndarray, starts: np.ndarray, size: int, longest: int, plans: dict[int, list[list[int]]]) -> dict[int, list[np.ndarray]]:
-    """Keys of the windows at `starts` for every size in `plans`; sizes share one walk, since it only differs after its end."""
+def sampled_keys(h: np.ndarray, starts: np.ndarray, size: int, longest: int, plans: dict[int, list[list[int]]], walk: int = 0) -> dict[int, list[np.ndarray]]:
+    """Keys of the windows at `starts` for every size in `plans`; sizes share one walk, since it only differs after its end. Walks of
+    different numbers take different bits of a word."""
     at = starts.astype(np.int64)
     off = np.zeros(len(at), dtype=np.int64)
     last = len(h) - 1
@@ -59,13 +66,15 @@ def sampled_keys(h: np.ndarray, starts: np.ndarray, size: int, longest: int, pla
     wanted = {j: [(m, r) for m, p in plans.items() for r, steps in enumerate(p) if j in steps] for j in range(3 * longest)}
     prime = np.uint64(0x9E3779B97F4A7C15)
     end = max(max(s[-1] for s in p) for p in plans.values())
+    salt = np.uint64(walk * 0xD1B54A32D192ED03 % (1 << 64))
+    mixed = h if walk == 0 else ((h ^ salt) * prime) ^ (((h ^ salt) * prime) >> np.uint64(32))
     for j in range(end + 1):
         sym = h[np.minimum(at, last)]
         for m, r in wanted[j]:
             v = np.where(off < m, sym, np.uint64(0))
             k = keys[m][r]
             keys[m][r] = (k ^ (k >> np.uint64(29)) ^ v) * prime
-        bit = ((sym >> np.uint64(j % 61)) & np.uint64(1)).astype(np.int64)
+        bit = ((mixed[np.minimum(at, last)] >> np.uint64(j % 61)) & np.uint64(1)).astype(np.int64)
         bit[off >= longest] = 0
         off += bit
         at += bit
@@ -75,15 +84,17 @@ def sampled_keys(h: np.ndarray, starts: np.ndarray, size: int, longest: int, pla
 class ItemBlock:
     """Windows of a block of items with their sampled keys."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, edits: int, repetitions: int) -> None:
-        self.window, self.edits, self.repetitions = window, edits, repetitions
+    def __init__(self, items: list[tuple[int, str]], window: int, edits: int, repetitions: int | dict[int, int]) -> None:
+        self.window, self.edits = window, edits
         self.windows: list[tuple[int, tuple[str, ...]]] = []
         for i, text in items:
             w = words_of(text)
             m = min(window, len(w))
             self.windows += [(i, tuple(w[p : p + m])) for p in range(len(w) - m + 1)] if m else []
         sizes = sorted({len(w) for _, w in self.windows})
-        self.plans = {m: samples(3 * m, repetitions) for m in sizes}
+        if not isinstance(repetitions, dict):
+            repetitions = dict.fromkeys(sizes, repetitions)
+        self.plans = {m: samples(3 * m, repetitions[m], sampled(m, edits)) for m in sizes}
         self.longest = max(sizes, default=0)
         self.row = np.zeros(len(self.windows), dtype=np.int64)  # row of a window among those of its size
         self.hashes: dict[int, np.ndarray] = {}
@@ -94,8 +105,8 @@ class ItemBlock:
             flat = np.array([_hash(x) for n in own for x in (*self.windows[n][1], *[""] * pad)], dtype=np.uint64)
             self.hashes[m] = flat.reshape(len(own), self.longest)[:, :m]
             self.row[own] = np.arange(len(own))
-            keys = sampled_keys(flat, np.arange(len(own)) * self.longest, m, self.longest, {m: self.plans[m]})[m]
-            for r, k in enumerate(keys):
+            for r, steps in enumerate(self.plans[m]):
+                k = sampled_keys(flat, np.arange(len(own)) * self.longest, m, self.longest, {m: [steps]}, r)[m][0]
                 order = np.argsort(k, kind="stable")
                 bits = np.zeros(1 << 20, dtype=bool)
                 bits[(k & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -125,10 +136,10 @@ class ItemBlock:
         out: set[tuple[int, int]] = set()
         for lo in range(0, len(words), 200_000):
             starts = np.arange(lo, min(lo + 200_000, len(words)))
-            keys = sampled_keys(h, starts, 0, self.longest, self.plans)
-            for m, ks in keys.items():
-                fits = room[starts] >= max(1, m - self.edits)
-                for r, k in enumerate(ks):
+            for r in range(max(map(len, self.plans.values()))):
+                keys = sampled_keys(h, starts, 0, self.longest, {m: [p[r]] for m, p in self.plans.items() if r < len(p)}, r)
+                for m, (k,) in keys.items():
+                    fits = room[starts] >= max(1, m - self.edits)
                     sorted_keys, own, bits = self.lookup[m, r]
                     near = np.flatnonzero(fits & bits[(k & np.uint64((1 << 20) - 1)).astype(np.int64)])
                     left = np.searchsorted(sorted_keys, k[near], "left")
@@ -177,31 +188,61 @@ def edit_distance(a, b, most: int) -> int:
     return row[-1]
 
 
-def repetitions_for(items: list[tuple[int, str]], window: int, edits: int, recall: float) -> int:
-    """Repetitions that reach the recall: the chance p that one sample agrees is measured on the items' own windows under random
-    edits with the same walk; r satisfies 1 - (1 - p)^r >= recall."""
-    if edits == 0:
-        return 1
-    rng = random.Random(SEED)
-    pool = [w for _, t in items if len(w := words_of(t)) >= window + edits]
-    if not pool:
-        return 8
-    hit, tries = 0, 400
-    plan = {window: samples(3 * window, 8)}
+def edited(w: list[str], edits: int, rng: random.Random) -> list[str]:
+    """A window under random edits, each of which changes it: words left out, changed, or put in between its words."""
+    b = list(w)
+    for n in range(edits):
+        q, new = rng.randrange(len(b)) if b else 0, f"x{rng.getrandbits(60)}"
+        kind = rng.randrange(3 if 0 < q else 2)
+        b[q : q + 1] = [] if kind == 0 else [new] if kind == 1 else [new, b[q]]
+    return b
+
+
+def measured_recall(pool: list[list[str]], m: int, edits: int, walks: int, tries: int = 600, seed: int = SEED) -> list[float]:
+    """Share of windows of m words that meet their edited form within the first 1, 2, ... repetitions."""
+    rng = random.Random(seed)
+    clean, other, long = [], [], m + edits + 1
     for _ in range(tries):
         w = rng.choice(pool)
-        p = rng.randrange(len(w) - window - edits + 1)
-        a = w[p : p + window + edits]
-        b = list(a)
-        for _ in range(edits):
-            q = rng.randrange(window)
-            kind = rng.randrange(3)
-            b[q : q + 1] = [] if kind == 0 else [f"x{rng.random()}"] if kind == 1 else [b[q], f"x{rng.random()}"]
-        b = (b + [""] * window)[: window + edits]
-        ka, kb = (sampled_keys(np.array([_hash(x) for x in s], dtype=np.uint64), np.zeros(1, dtype=np.int64), window, window, plan)[window] for s in (a, b))
-        hit += sum(int(x[0] == y[0]) for x, y in zip(ka, kb))
-    p = max(0.01, hit / (tries * 8))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+        p = rng.randrange(len(w) - m + 1)
+        a = w[p : p + m]
+        clean += [_hash(x) for x in (a + [""] * long)[:long]]
+        other += [_hash(x) for x in (edited(a, edits, rng) + [f"y{rng.random()}" for _ in range(long)])[:long]]
+    at = np.arange(tries) * long
+    met, out = np.zeros(tries, dtype=bool), []
+    for r, steps in enumerate(samples(3 * m, walks, sampled(m, edits))):
+        x, y = (sampled_keys(np.array(h, dtype=np.uint64), at, m, m, {m: [steps]}, r)[m][0] for h in (clean, other))
+        met |= x == y
+        out.append(float(met.mean()))
+    return out
+
+
+#: More repetitions than any size of window above the edits was measured to need; a size that needs more is refused.
+MOST_REPETITIONS = 128
+
+
+def repetitions_by_size(items: list[tuple[int, str]], window: int, edits: int, recall: float = 0.95) -> dict[int, int]:
+    """For each size of the items' windows, the least repetitions whose measured recall reaches the target, with three standard errors to spare."""
+    pools: dict[int, list[list[str]]] = {}
+    for _, t in items:
+        if w := words_of(t):
+            pools.setdefault(min(window, len(w)), []).append(w)
+    out = {}
+    for m, pool in pools.items():
+        if edits == 0 or m <= edits:
+            out[m] = 1
+            continue
+        target = min(0.998, recall + 3 * math.sqrt(recall * (1 - recall) / 600))
+        reached = next((r for r, x in enumerate(measured_recall(pool, m, edits, MOST_REPETITIONS), 1) if x >= target), None)
+        if reached is None:
+            raise ValueError(f"recall {recall} is not reached for windows of {m} words with {edits} edits")
+        out[m] = reached
+    return out
+
+
+def repetitions_for(items: list[tuple[int, str]], window: int, edits: int, recall: float) -> int:
+    """Repetitions that reach the recall for every size of the items' windows."""
+    return max(repetitions_by_size(items, window, edits, recall).values(), default=1)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = 0, recall: float = 0.95, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -212,7 +253,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, edits: i
     size = 0
 
     def run_block(rows: list[tuple[int, str]]) -> DataFrame:
-        reps = repetitions_for(rows, window, edits, recall)
+        reps = repetitions_by_size(rows, window, edits, recall)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             b_items = ItemBlock(rows, window, edits, reps)

@@ -67,3 +67,13 @@ def test_operator(spark):
     assert {tuple(r) for r in leak.find_leaks(d, i).collect()} == want
     assert {tuple(r) for r in leak.find_leaks(d, i, block_windows=50).collect()} == want
     assert leak.find_leaks(d, i.where("false")).count() == 0 and leak.find_leaks(d.where("false"), i).count() == 0
+
+
+def test_near_recall_of_edited_windows():
+    """Only pairs with an edit, for each size of window; what meets is measured on other edits than those that chose the repetitions."""
+    rng = random.Random(11)
+    for m in (4, 6, 9, 13):
+        items = [(i, " ".join(f"w{i}x{k}" for k in range(m))) for i in range(400)]
+        docs = [(i, " ".join(["before", *leak.edited(t.split(), 1, rng), "after"])) for i, t in items]
+        got = leak.ItemBlock(items, 13, 1, leak.repetitions_by_size(items, 13, 1, 0.95)).pairs(docs)
+        assert got <= {(i, i) for i, _ in items} and len(got) >= 0.94 * len(items), (m, len(got))
