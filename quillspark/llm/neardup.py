@@ -321,11 +321,18 @@ def duplicate_pairs(records: DataFrame, threshold: float = THRESHOLD, min_words:
     return pairs
 
 
-def duplicate_groups(records: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_groups(records: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, key_similarity: float | None = None) -> DataFrame:
     """(rec_table, key, group_id, links): one row per record; group_id is the smallest key of the records it hangs together with, links the
-    number of classes of other texts that its own is linked to. Copies are not expanded into pairs."""
+    number of classes of other texts that its own is linked to. Copies are not expanded into pairs. With key_similarity only pairs of
+    records with similar keys hang together, copies too, and links is the number of such records."""
     from quillspark.operators.graph import component_labels
 
+    if key_similarity is not None:
+        pairs = write_shared(duplicate_pairs(records, threshold, min_words, key_similarity), "p1-pairs")
+        labels = component_labels(pairs.select(F.col("key_a").alias("src"), F.col("key_b").alias("dst"))).select(F.col("node").alias("key"), F.col("label").alias("group_id"))
+        degree = pairs.select(F.col("key_a").alias("key")).unionAll(pairs.select(F.col("key_b").alias("key"))).groupBy("key").agg(F.count("*").alias("links"))
+        every = records.select("rec_table", "key").distinct().join(labels, "key", "left").join(degree, "key", "left")
+        return every.select("rec_table", "key", F.coalesce("group_id", "key").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
     links, members = links_and_members(records, threshold, min_words)
     labels = component_labels(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     degree = links.select(F.col("a").alias("cls")).unionAll(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))

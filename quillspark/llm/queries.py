@@ -30,8 +30,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every source with its group, so that each group can be kept once."""
-    return neardup.duplicate_groups(_keyed(spark, d, "sources", "id", "content"))
+    """Every source and concept with its group, so that each group can be kept once."""
+    s = neardup.duplicate_groups(_keyed(spark, d, "sources", "id", "content"))
+    return s.unionByName(neardup.duplicate_groups(_keyed(spark, d, "concepts", "slug", "compiled_truth"), key_similarity=0.7))
 
 
 #: The key of the surrogates; a deployment passes its own.

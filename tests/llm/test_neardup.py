@@ -97,3 +97,17 @@ def test_wide_bound_rules_nothing_out_wrongly():
     ok = d.wide_bound(i, j, [d.wide_bitmap(s) for s in sets], np.array([len(s) for s in sets]), 0.7)
     want = brute(texts)
     assert len(want) > 20 and want <= set(zip(i[ok].tolist(), j[ok].tolist())) and ok.mean() < 0.5
+
+
+def test_groups_by_key_similarity(spark):
+    t = " ".join(f"word{i}" for i in range(30))
+    df = spark.createDataFrame([("c", "add-route", t), ("c", "add-routes", t + " more"), ("c", "quite-other", t), ("c", "none", None)], "rec_table string, key string, text string")
+    got = {(r.key, r.group_id, r.links) for r in d.duplicate_groups(df, key_similarity=0.7).collect()}
+    assert got == {("add-route", "add-route", 1), ("add-routes", "add-route", 1), ("quite-other", "quite-other", 0), ("none", "none", 0)}
+
+
+def test_query_groups_concepts(spark, sf_dir):
+    from quillspark.llm import queries
+
+    got = {r.rec_table: r["count"] for r in queries.p1_groups(spark, sf_dir).groupBy("rec_table").count().collect()}
+    assert got["concepts"] == spark.read.parquet(f"{sf_dir}/concepts.parquet").select("slug").distinct().count() and got["sources"]
