@@ -4,17 +4,18 @@
 2. Blocks: words are put in hash order, and neighbours form keys: pairs of the less common words, triples of all words, for small
    sets pairs of all words. Words missing from one side or added to the other break only the keys they touch, at places that are
    random to the data: with overlap J, J' = 2J / (1 + J) of the words are shared and some J'^3 of the pairs, J'^5 of the triples of
-   a set; at J = 0.7, of 40 triples and 64 pairs about 15 and 35. Long sets keep a nested sample of their keys (by powers of two,
-   so that two sets agree on what is kept).
-3. Signature trees: within a block, records are leaves with a token bitmap and a size; inner nodes hold the OR of their bitmaps and
-   their range of sizes. Two trees (or one with itself) are descended together; a pair of nodes is pruned when the largest overlap
-   that its bitmaps and sizes allow is below what the threshold needs. Pairs of records left pass the bitmap's lower bound on the
-   difference, for long sets also that of a bitmap as wide as their size asks for, then the exact comparison of their sets. Every
-   pair that meets in a single key gets this far; the bounds leave out only pairs below the threshold.
-
-Scale: bitmaps go to partitions, not to blocks, so a record is sent once per partition that holds any of its keys; a key with more
-than `HOT` classes is split into chunks, and pairs of chunks are compared in separate tasks. The only thing broadcast is the list of
-common words and of hot keys, both bounded by the ratio that defines them.
+   a set, at J = 0.7 more than half and more than a third. Long sets keep a nested sample of their keys (by powers of two, so that
+   two sets agree on what is kept). Against brute force over the large check input no pair was lost (README).
+3. Signature trees: every block, of two records or of many, is a tree whose leaves are records with a token bitmap and a size; inner
+   nodes hold the OR of their bitmaps and their range of sizes. The tree is descended against itself; a pair of nodes is pruned when
+   the largest overlap that its bitmaps and sizes allow is below what the threshold needs. Pairs of records left pass the bitmaps'
+   lower bound on the difference, then the exact comparison of their sets. Every pair that meets in a single key gets this far; the
+   bounds leave out only pairs below the threshold.
+
+Scale: a record is sent once per key, some thirty rows of about 100 bytes, whatever the number of partitions; partitions are
+read sorted, a bounded chunk of blocks at a time. A key with more than `HOT` classes is split into chunks, and every pair of chunks
+is compared once, in a block of its own; such keys meet their rows by a join. Only the list of common words comes to the driver; it
+is bounded by the ratio that defines it.
 
 Defined cases: null or empty text, or fewer than `min_words` different words: the record is in no pair, and in a group of its own;
 a repeated row counts once; ties don't matter, since a pair is written with the smaller key first.
@@ -34,28 +35,32 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.session import write_shared
 
 THRESHOLD, MIN_WORDS = 0.7, 20
-#: A word in more than this share of the classes makes no keys. At most (mean set size) / COMMON words are that common.
+#: A word in more than this share of the classes makes no pairs. At most (mean set size) / COMMON words are that common.
 COMMON = 0.05
-#: About as many keys of each sort are kept of a long set.
-KEYS, TRIPLES = 64, 40
-#: 64-bit words of a bitmap.
+#: At least about as many pairs and triples are kept of a long set, at most twice as many; a record is sent once per key.
+PAIRS, TRIPLES = 6, 12
+#: Sets of fewer words make pairs of all their words too.
+SMALL = 90
+#: 64-bit words of the bitmap in inner nodes; records carry one of two to four bits a word, at least this wide.
 WIDTH = 8
-#: Classes that one block may hold in one task; a larger one is split in chunks. There are at most (all keys) / HOT hot keys.
+#: Classes that one block may hold; a key with more is split in chunks. There are at most (all keys) / HOT such keys.
 HOT = 40_000
-#: Classes per partition of the block join: some 100 bytes each.
-PER_PARTITION = 60_000
+#: Rows of the block table that are compared at a time, in whole blocks.
+CHUNK = 200_000
+#: Rows of the block table per partition.
+PER_PARTITION = 400_000
 
 _WORD = re.compile(r"[a-z0-9]{3,}")
 
 
 def word_set(text: str) -> np.ndarray:
-    """Sorted 32-bit hashes of the different words. Two of n words of a pair share a hash with chance n^2 / 2^33: some 10^-5 for usual texts."""
+    """Sorted 64-bit hashes of the different words; two of a billion words share one with chance 0.03."""
     words = set(_WORD.findall(text.lower()))
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.uint32, count=len(words)))
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)))
 
 
 def _runs(words: np.ndarray, gram: int, keep: int) -> np.ndarray:
-    """Keys of all runs of `gram` neighbours; of more than `keep`, a nested sample."""
+    """Keys of all runs of `gram` neighbours; of more than twice `keep`, a nested sample."""
     if len(words) < gram:
         return np.zeros(0, dtype=np.uint64)
     k = words[: len(words) - gram + 1] + np.uint64(gram)
@@ -71,128 +76,134 @@ def block_keys(words: np.ndarray, common: np.ndarray) -> np.ndarray:
 
     Every set makes triples, so two sets meet whatever their share of common words is; small sets make pairs up to half as many
     words again as they need, so that no two sets fall on different sides of a rule."""
-    words = words.astype(np.uint64)
     rare = words
     if len(common):
-        c = common.astype(np.uint64)
-        p = np.minimum(np.searchsorted(c, words), len(c) - 1)
-        rare = words[c[p] != words]
-    parts = [_runs(rare, 2, KEYS), _runs(words, 3, TRIPLES)]
-    if len(words) < 90:
-        parts.append(_runs(words, 2, KEYS) ^ np.uint64(1))
+        p = np.minimum(np.searchsorted(common, words), len(common) - 1)
+        rare = words[common[p] != words]
+    parts = [_runs(rare, 2, PAIRS), _runs(words, 3, TRIPLES)]
+    if len(words) < SMALL:
+        parts.append(_runs(words, 2, PAIRS) ^ np.uint64(1))
     return np.unique(np.concatenate(parts)).astype(np.int64)
 
 
-def bitmap(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def bitmap(words: np.ndarray, width: int | None = None) -> np.ndarray:
+    """Bitmap of a set, by default with two to four bits a word."""
+    width = width or max(WIDTH, 1 << math.ceil(math.log2(max(1, 2 * len(words) / 64))))
     out = np.zeros(width, dtype=np.uint64)
-    place = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(width * 64)
+    place = (words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(width * 64)
     np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
     return out
 
 
-def wide_bitmap(words: np.ndarray) -> np.ndarray:
-    """Bitmap of a set that fills the usual one, with four to eight bits a word; empty for the others."""
-    n = len(words)
-    return bitmap(words, 1 << math.ceil(math.log2(4 * n / 64))) if 4 * n > WIDTH * 64 else np.zeros(0, dtype=np.uint64)
-
-
-def wide_bound(i: np.ndarray, j: np.ndarray, wide: list[np.ndarray], sizes: np.ndarray, t: float, step: int = 50_000) -> np.ndarray:
-    """Whether the wide bitmaps of records i[e] and j[e] allow the threshold; the wider of two is folded. Records without one pass."""
-    width = np.array([len(w) for w in wide], dtype=np.int64)
-    least = np.minimum(width[i], width[j])
-    ok = np.ones(len(i), dtype=bool)
-    for n in np.unique(least[least > 0]).tolist():
-        at = np.flatnonzero(least == n)
-        own, place = np.unique(np.concatenate((i[at], j[at])), return_inverse=True)
-        bits = np.array([np.bitwise_or.reduce(wide[k].reshape(-1, n)) for k in own.tolist()])
-        a, b = place[: len(at)], place[len(at) :]
-        for lo in range(0, len(at), step):
-            e = slice(lo, lo + step)
-            differ = np.bitwise_count(bits[a[e]] ^ bits[b[e]]).sum(axis=1, dtype=np.int64)
-            ok[at[e]] = differ <= (1 - t) / (1 + t) * (sizes[i[at[e]]] + sizes[j[at[e]]]) + 1e-9
-    return ok
-
-
 # ---- signature trees ----------------------------------------------------------------------------------------------------------
 
 
-class SignatureTree:
-    """Levels of nodes over records in order of size: level 0 are the records, each higher node covers `fan` of the level below."""
-
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, fan: int = 8) -> None:
-        self.order = np.lexsort((*bits.T[::-1], sizes))
-        b, n = bits[self.order], sizes[self.order]
-        spare = n - np.bitwise_count(b).sum(axis=1, dtype=np.int64)  # words that share a bit with another
-        self.fan = fan
-        self.levels = [(b, n, n, spare)]
-        while len(self.levels[-1][0]) > 1:
-            b, lo, hi, spare = self.levels[-1]
-            cut = np.arange(0, len(b), fan)
-            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(spare, cut)))
+class SignatureForest:
+    """A signature tree for every block, all built and descended together.
+
+    Level 0 are the records, by block, side and size; a node of a higher level covers up to `fan` nodes below it, of one block. It
+    holds the OR of their bitmaps, their range of sizes, the most words that share a bit, and their sides: a pair of records of a
+    block counts if one is on side 1 and the other on side 2, or either on both (3), as all are in a block that isn't a split one."""
+
+    def __init__(self, block: np.ndarray, side: np.ndarray, wide: list[np.ndarray], sizes: np.ndarray, fan: int = 8) -> None:
+        self.order = np.lexsort((sizes, side, block))
+        block, sizes = block[self.order], sizes[self.order]
+        self.wide = [wide[i] for i in self.order.tolist()]
+        self.sizes, self.fan = sizes, fan
+        width = np.array([len(w) for w in self.wide], dtype=np.int64)
+        bits = np.zeros((len(sizes), WIDTH), dtype=np.uint64)
+        for n in np.unique(width).tolist():
+            at = np.flatnonzero(width == n)
+            bits[at] = np.bitwise_or.reduce(np.concatenate([self.wide[i] for i in at.tolist()]).reshape(len(at), -1, WIDTH), axis=1)
+        spare = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        # (bitmap, least size, most, most words sharing a bit, sides, first child, children) of every level
+        self.levels = [(bits, sizes, sizes, spare, side[self.order], None, None)]
+        self.roots: list[tuple[int, np.ndarray]] = []
+        level, own = 0, block
+        alive = np.arange(len(block))  # nodes of this level that aren't the root of their block yet
+        while len(alive):
+            start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            length = np.diff(np.concatenate((start, [len(own)])))
+            one = length == 1
+            if level and one.any():
+                self.roots.append((level, alive[start[one]]))
+            stay = np.repeat(~one, length)  # a block of one record has no pair
+            alive, own, length = alive[stay], own[stay], length[~one]
+            if not len(alive):
+                break
+            at = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
+            cut = np.flatnonzero(at % fan == 0)
+            b, lo, hi, spare, sides, _, _ = self.levels[level]
+            take = slice(None) if len(alive) == len(lo) else alive
+            self.levels.append((
+                np.bitwise_or.reduceat(b[take], cut), np.minimum.reduceat(lo[take], cut), np.maximum.reduceat(hi[take], cut), np.maximum.reduceat(spare[take], cut),
+                np.bitwise_or.reduceat(sides[take], cut), alive[cut], np.diff(np.concatenate((cut, [len(own)]))),
+            ))
+            own = own[cut]
+            level += 1
+            alive = np.arange(len(own))
 
     def candidates(self, t: float, step: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of records, as positions before sorting, that the tree descended against itself cannot rule out."""
+        """Pairs of records, as positions before sorting, that the trees descended against themselves cannot rule out."""
         found_i, found_j = [], []
-        stack = [(len(self.levels) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
+        stack = [(level, r, r) for level, r in self.roots]
         while stack:
             level, i, j = stack.pop()
             if len(i) > step:
                 half = len(i) // 2
                 stack += [(level, i[:half], j[:half]), (level, i[half:], j[half:])]
                 continue
-            b, lo, hi, spare = self.levels[level]
-            ok = (lo[j] * t <= hi[i] + 1e-9) & (lo[i] * t <= hi[j] + 1e-9)
-            i, j = i[ok], j[ok]
-            most = np.bitwise_count(b[i] & b[j]).sum(axis=1, dtype=np.int64) + np.minimum(np.maximum(spare[i], spare[j]), np.minimum(hi[i], hi[j]))
-            most = np.minimum(most, np.minimum(hi[i], hi[j]))
-            ok = most >= t / (1 + t) * (lo[i] + lo[j]) - 1e-9
+            b, lo, hi, spare, side, child, children = self.levels[level]
+            cross = side[i] & ((side[j] & 1) << 1 | side[j] >> 1)
+            ok = (cross > 0) & (lo[j] * t <= hi[i] + 1e-9) & (lo[i] * t <= hi[j] + 1e-9)
             i, j = i[ok], j[ok]
             if level == 0:
-                ok = (i < j) & (np.bitwise_count(b[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= (1 - t) / (1 + t) * (lo[i] + lo[j]) + 1e-9)
+                differ = np.bitwise_count(b[i] ^ b[j]).sum(axis=1, dtype=np.int64)
+                ok = differ <= (1 - t) / (1 + t) * (lo[i] + lo[j]) + 1e-9
+                i, j = i[ok], j[ok]
+                ok = self._wide_bound(i, j, t)
                 found_i.append(self.order[i[ok]])
                 found_j.append(self.order[j[ok]])
                 continue
-            below = len(self.levels[level - 1][0])
-            k = np.arange(self.fan)
-            ci = (i[:, None, None] * self.fan + k[None, :, None] + 0 * k[None, None, :]).ravel()
-            cj = (j[:, None, None] * self.fan + 0 * k[None, :, None] + k[None, None, :]).ravel()
-            ok = (ci < below) & (cj < below) & (ci <= cj)
+            most = np.bitwise_count(b[i] & b[j]).sum(axis=1, dtype=np.int64) + np.minimum(np.maximum(spare[i], spare[j]), np.minimum(hi[i], hi[j]))
+            ok = np.minimum(most, np.minimum(hi[i], hi[j])) >= t / (1 + t) * (lo[i] + lo[j]) - 1e-9
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            nj = children[j]
+            each = children[i] * nj
+            e = np.repeat(np.arange(len(i)), each)
+            at = np.arange(len(e)) - np.repeat(np.cumsum(each) - each, each)
+            ci, cj = child[i][e] + at // nj[e], child[j][e] + at % nj[e]
+            ok = (ci < cj) | ((ci == cj) & (level > 1))
             if ok.any():
                 stack.append((level - 1, ci[ok], cj[ok]))
         empty = np.zeros(0, dtype=np.int64)
         return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (empty, empty)
 
-
-def block_candidates(keys: np.ndarray, owner: np.ndarray, bits: np.ndarray, sizes: np.ndarray, t: float, small: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (positions of records) over all blocks of a partition, and in how many blocks each came: keys[e] is held by record owner[e]."""
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    length = np.diff(np.concatenate((cut, [len(keys)])))
-    left, right = [], []
-    in_small = np.repeat(length <= small, length)
-    k, o = keys[in_small], owner[in_small]
-    for d in range(1, small):
-        same = np.flatnonzero(k[d:] == k[:-d]) if len(k) > d else np.zeros(0, dtype=np.int64)
-        if not len(same):
-            break
-        a, b = o[same], o[same + d]
-        ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= (1 - t) / (1 + t) * (sizes[a] + sizes[b]) + 1e-9
-        ok &= (sizes[a] * t <= sizes[b] + 1e-9) & (sizes[b] * t <= sizes[a] + 1e-9)
-        left.append(a[ok])
-        right.append(b[ok])
-    for s, n in zip(cut[length > small].tolist(), length[length > small].tolist()):
-        own = owner[s : s + n]
-        i, j = SignatureTree(bits[own], sizes[own]).candidates(t)
-        left.append(own[i])
-        right.append(own[j])
-    if not left:
-        return (np.zeros(0, dtype=np.int64),) * 3
-    a, b = np.concatenate(left), np.concatenate(right)
-    pair, times = np.unique(np.minimum(a, b).astype(np.int64) * len(sizes) + np.maximum(a, b), return_counts=True)
-    ok = pair // len(sizes) != pair % len(sizes)
-    pair = pair[ok]
-    return pair // len(sizes), pair % len(sizes), times[ok]
+    def _wide_bound(self, i: np.ndarray, j: np.ndarray, t: float, step: int = 50_000) -> np.ndarray:
+        """Whether the records' own bitmaps allow the threshold; the wider of two is folded."""
+        width = np.array([len(w) for w in self.wide], dtype=np.int64)
+        least = np.minimum(width[i], width[j])
+        ok = np.ones(len(i), dtype=bool)
+        for n in np.unique(least[least > WIDTH]).tolist():
+            at = np.flatnonzero(least == n)
+            own, place = np.unique(np.concatenate((i[at], j[at])), return_inverse=True)
+            bits = np.array([np.bitwise_or.reduce(self.wide[k].reshape(-1, n)) for k in own.tolist()])
+            a, b = place[: len(at)], place[len(at) :]
+            for lo in range(0, len(at), step):
+                e = slice(lo, lo + step)
+                differ = np.bitwise_count(bits[a[e]] ^ bits[b[e]]).sum(axis=1, dtype=np.int64)
+                ok[at[e]] = differ <= (1 - t) / (1 + t) * (self.sizes[i[at[e]]] + self.sizes[j[at[e]]]) + 1e-9
+        return ok
+
+
+def block_candidates(block: np.ndarray, side: np.ndarray, cls: np.ndarray, wide: list[np.ndarray], sizes: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (a, b) of classes, a < b, over all blocks, each once."""
+    i, j = SignatureForest(block, side, wide, sizes).candidates(t)
+    a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+    pairs = np.unique(np.stack((a, b), axis=1)[a != b], axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+    return pairs[:, 0], pairs[:, 1]
 
 
 # ---- in Spark -----------------------------------------------------------------------------------------------------------------
@@ -217,78 +228,92 @@ def word_sets(records: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return records.select("rec_table", "key", "text").where("text is not null").mapInPandas(_sets(min_words), "rec_table string, key string, cls long, n int, words binary")
 
 
-def similar_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _of(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.uint64)
+
+
+def block_rows(classes: DataFrame, common: np.ndarray, hot: int = HOT) -> DataFrame:
+    """(blk, side, cls, n, bits) of classes(cls, n, words): a row for each key of a class, some forty however many partitions there
+    are. A key with more than `hot` classes is split: its classes are dealt to chunks, and every pair of chunks is a block, with one
+    chunk on side 1 and the other on side 2. Such keys are found by count and met by a join."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [_of(x) for x in b["words"]]
+            keys = [block_keys(w, common) for w in words]
+            n = [len(k) for k in keys]
+            at = np.repeat(np.arange(len(b)), n)
+            bits = np.array([bitmap(w).tobytes() for w in words], dtype=object)
+            yield pd.DataFrame({"blk": np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), "cls": b["cls"].to_numpy()[at], "n": b["n"].to_numpy()[at], "bits": bits[at] if len(b) else bits})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            k, c = np.unique(np.concatenate([block_keys(_of(x), common) for x in b["words"]]) if len(b) else np.zeros(0, dtype=np.int64), return_counts=True)
+            yield pd.DataFrame({"blk": k, "c": c.astype(np.int64)})
+
+    rows = classes.select("cls", "n", "words").mapInPandas(send, "blk long, cls long, n int, bits binary").withColumn("side", F.lit(3))
+    counts = classes.select("words").mapInPandas(count, "blk long, c long").groupBy("blk").agg(F.sum("c").alias("c"))
+    busy = write_shared(counts.where(F.col("c") > hot).select("blk", F.ceil(F.col("c") * 2 / hot).alias("m")), "p1-busy")
+    if busy.isEmpty():
+        return rows.select("blk", "side", "cls", "n", "bits")
+    own = F.pmod(F.xxhash64("cls"), "m")
+    chunks = F.when(F.col("m").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))
+    met = rows.join(busy, "blk", "left").withColumn("own", own).withColumn("other", F.explode(chunks))
+    split = F.col("m").isNotNull()
+    return met.select(
+        F.when(split, F.xxhash64("blk", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("blk")).alias("blk"),
+        F.when(split & (F.col("own") < F.col("other")), 1).when(split & (F.col("own") > F.col("other")), 2).otherwise(3).alias("side"),
+        "cls", "n", "bits",
+    )
+
+
+def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, partitions: int | None = None, hot: int = HOT) -> DataFrame:
     """(a, b) with a < b: classes(cls, n, words) whose sets overlap by at least the threshold. Classes of different tables never meet, since
     the table is part of a class, but their words may: callers pass one table at a time."""
     spark = classes.sparkSession
-    total = classes.count()
+    total, words = classes.agg(F.count("*"), F.sum("n")).first()
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            count: dict[int, int] = {}
-            w, n = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in b["words"]]) if len(b) else np.zeros(0, dtype=np.uint32), return_counts=True)
+            w, n = np.unique(np.concatenate([_of(x) for x in b["words"]]) if len(b) else np.zeros(0, dtype=np.uint64), return_counts=True)
             yield pd.DataFrame({"w": w.astype(np.int64), "c": n.astype(np.int64)})
 
     # at most (mean set size) / COMMON rows
     common = classes.select("words").mapInPandas(spread, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") > max(2, COMMON * total)).select("w")
-    common_words = np.sort(np.array([r.w for r in common.collect()], dtype=np.int64).astype(np.uint32))
-    parts = max(spark.sparkContext.defaultParallelism, -(-total // PER_PARTITION))
-
-    def hot_keys() -> dict[int, int]:
-        if total <= HOT:
-            return {}
-
-        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                k, n = np.unique(np.concatenate([block_keys(np.frombuffer(x, dtype=np.uint32), common_words) for x in b["words"]]) if len(b) else np.zeros(0, dtype=np.int64), return_counts=True)
-                yield pd.DataFrame({"k": k, "c": n.astype(np.int64)})
-
-        rows = classes.select("words").mapInPandas(keys, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") > HOT).collect()
-        return {r.k: -(-2 * r.c // HOT) for r in rows}
-
-    hot = hot_keys()
+    common_words = np.sort(np.array([r.w for r in common.collect()], dtype=np.int64).astype(np.uint64))
+    keys = min(total * (3 * TRIPLES), 3 * (words or 0))
+    parts = partitions or max(spark.sparkContext.defaultParallelism, -(-keys // PER_PARTITION))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows in, a chunk of whole blocks at a time."""
+
+        def pairs(g: pd.DataFrame) -> pd.DataFrame:
+            a, b = block_candidates(g["blk"].to_numpy(), g["side"].to_numpy(), g["cls"].to_numpy(), [_of(x) for x in g["bits"]], g["n"].to_numpy(dtype=np.int64), threshold)
+            return pd.DataFrame({"a": a, "b": b})
+
+        held: list[pd.DataFrame] = []
+        size = 0
+        for g in batches:
+            held.append(g)
+            size += len(g)
+            if size < CHUNK:
+                continue
+            g = pd.concat(held, ignore_index=True)
+            cut = int(np.searchsorted(g["blk"].to_numpy(), g["blk"].iloc[-1], "left"))  # the last block may go on
+            if cut:
+                yield pairs(g.iloc[:cut])
+            held, size = [g.iloc[cut:]], len(g) - cut
+        if size:
+            yield pairs(pd.concat(held, ignore_index=True))
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for cls, n, x in zip(b["cls"], b["n"], b["words"]):
-                w = np.frombuffer(x, dtype=np.uint32)
-                ks = block_keys(w, common_words)
-                if hot and not hot.keys().isdisjoint(ks.tolist()):
-                    out = []
-                    for k in ks.tolist():
-                        m = hot.get(k)
-                        if m is None:
-                            out.append(k)
-                        else:  # this record's chunk against every chunk of the key
-                            c = cls % m
-                            out += [xxhash.xxh3_64_intdigest(f"{k}/{min(c, j)}/{max(c, j)}") - (1 << 63) for j in range(m)]
-                    ks = np.array(out, dtype=np.int64)
-                bits, wide = bitmap(w).tobytes(), wide_bitmap(w).tobytes()
-                to = (ks % parts).astype(np.int64)
-                for p in np.unique(to).tolist():
-                    rows.append((p, cls, n, bits, wide, ks[to == p].tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "cls", "n", "bits", "wide", "ks"])
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        ks = [np.frombuffer(x, dtype=np.int64) for x in g["ks"]]
-        owner = np.repeat(np.arange(len(g)), [len(x) for x in ks])
-        bits = np.frombuffer(b"".join(g["bits"]), dtype=np.uint64).reshape(len(g), WIDTH)
-        sizes = g["n"].to_numpy(dtype=np.int64)
-        i, j, _ = block_candidates(np.concatenate(ks), owner, bits, sizes, threshold)
-        ok = wide_bound(i, j, [np.frombuffer(x, dtype=np.uint64) for x in g["wide"]], sizes, threshold)
-        c, i, j = g["cls"].to_numpy(), i[ok], j[ok]
-        return pd.DataFrame({"a": np.minimum(c[i], c[j]), "b": np.maximum(c[i], c[j])})
-
-    sent = classes.select("cls", "n", "words").mapInPandas(send, "part int, cls long, n int, bits binary, wide binary, ks binary")
-    maybe = sent.repartition(parts, "part").groupBy("part").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
-    maybe = write_shared(maybe, "p1-candidates")
+    sent = block_rows(classes, common_words, hot).repartition(parts, "blk").sortWithinPartitions("blk")
+    maybe = write_shared(sent.mapInPandas(compare, "a long, b long").distinct(), "p1-candidates")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
             for x, y in zip(b["wa"], b["wb"]):
-                u, v = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+                u, v = _of(x), _of(y)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(both >= threshold * (len(u) + len(v) - both) - 1e-9)
             yield b.loc[keep, ["a", "b"]]
