@@ -8,7 +8,7 @@ ISO 8601 with any offset or precision, or epoch milliseconds); at equal instants
 Both forms are one associative merge over (create, best update, tombstone), so repeated, late and reordered changes give the same
 state. Batch: one aggregation with map-side partials, so an entity with a third of all rows costs one row per partition. Stream:
 keyed state keeps the payload, the last change and the tombstone; only newer changes are accepted, and batches are emitted as
-idempotent upserts under their batch number.
+idempotent upserts under their batch number, in a table that is compacted every few batches.
 
 Defined cases: null op, entity, sync id or payload: the row is skipped; a truth_update without a readable updated_at does not
 count; an update of an unknown concept waits for its create; copies of a change that differ in spelling are one change (ties by
@@ -17,19 +17,13 @@ payload text); an empty journal gives no concept.
 
 from __future__ import annotations
 
-import sys
 import uuid
-from collections.abc import Iterator
 
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillspark.session import shared_folder
+from quillspark.session import session_setting, shared_folder
 from quillspark.sources.files import stream_parquet
 
-# the runner of the keyed state starts before files sent to the executors are on its path, so its code travels with it
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 OPS = ("concept_create", "truth_update", "retire")
 
 
@@ -79,13 +73,17 @@ def _folded(changes: DataFrame) -> DataFrame:
     )
 
 
+def _by_update() -> Column:
+    """Whether the standing change of a folded row is its update."""
+    later = -F.col("told.neg") > F.col("born.at")
+    same = (-F.col("told.neg") == F.col("born.at")) & (F.col("told.sync_id") < F.col("born.sync_id"))
+    return F.col("told").isNotNull() & (later | same | F.col("born.at").isNull())
+
+
 def concept_state(journal: DataFrame) -> DataFrame:
     """(entity_id, sync_id, truth, at): one row per living concept."""
     s = _folded(readable_changes(journal)).where(F.col("born").isNotNull() & (F.col("gone") == 0))
-    by_update = F.col("told").isNotNull() & (
-        (-F.col("told.neg") > F.col("born.at")) | ((-F.col("told.neg") == F.col("born.at")) & (F.col("told.sync_id") < F.col("born.sync_id"))) | F.col("born.at").isNull()
-    )
-    pick = lambda f, g: F.when(by_update, f).otherwise(g)
+    pick = lambda f, g: F.when(_by_update(), f).otherwise(g)
     return s.select(
         "entity_id",
         pick(F.col("told.sync_id"), F.col("born.sync_id")).alias("sync_id"),
@@ -97,95 +95,68 @@ def concept_state(journal: DataFrame) -> DataFrame:
 # ---- as a stream --------------------------------------------------------------------------------------------------------------
 
 UPSERT = "entity_id string, sync_id string, truth string, at_micros long, living boolean"
-STATE = "born_sync string, born_at long, born_truth string, told_sync string, told_at long, told_truth string, gone boolean"
-
-
-def _better(a: tuple | None, b: tuple | None) -> tuple | None:
-    """The standing one of two (sync_id, at, truth): latest instant, then smallest sync_id, then text."""
-    if a is None or b is None:
-        return a or b
-    key = lambda x: (-x[1], x[0], x[2] or "")
-    return min(a, b, key=key)
-
-
-def make_processor():
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Keyed(StatefulProcessor):
-        """Per entity: the create, the standing update and the tombstone. Rows leave only when the state changed."""
-
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("concept", STATE)
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
-            import pandas as pd
-
-            s = self.state.get() if self.state.exists() else (None,) * 6 + (False,)
-            born = (s[0], s[1], s[2]) if s[0] is not None else None
-            told = (s[3], s[4], s[5]) if s[3] is not None else None
-            gone = bool(s[6])
-            before = (born, told, gone)
-            for batch in rows:
-                for sync, op, at, truth in zip(batch["sync_id"], batch["op"], batch["at"], batch["truth"]):
-                    at = None if pd.isna(at) else int(at)
-                    truth = None if truth is None or truth != truth else truth
-                    if op == "retire":
-                        gone = True
-                    elif op == "concept_create":
-                        new = (sync, at, truth)
-                        born = new if born is None else min(born, new, key=lambda x: (x[0], x[2] or ""))
-                    elif at is not None:
-                        told = _better(told, (sync, at, truth))
-            if (born, told, gone) != before:
-                self.state.update((*(born or (None,) * 3), *(told or (None,) * 3), gone))
-                if born is not None:
-                    top = _better(born, told) if born[1] is not None else told or born
-                    yield pd.DataFrame({"entity_id": [key[0]], "sync_id": [top[0]], "truth": [top[2]], "at_micros": [top[1]], "living": [not gone]})
-
-        def close(self) -> None:
-            pass
-
-    return Keyed()
-
-
-CHANGE = "entity_id string, sync_id string, op string, at long, truth string"
-
-
-def _prefold(batches: Iterator) -> Iterator:
-    """Per batch and entity only the changes that can matter: the smallest create, the standing update, one retire."""
-    import pandas as pd
-
-    for b in batches:
-        born: dict[str, tuple] = {}
-        told: dict[str, tuple] = {}
-        gone: dict[str, str] = {}
-        for e, sync, op, at, truth in zip(b["entity_id"], b["sync_id"], b["op"], b["at"], b["truth"]):
-            at = None if pd.isna(at) else int(at)
-            if op == "retire":
-                gone.setdefault(e, sync)
-            elif op == "concept_create":
-                new = (sync, at, truth)
-                born[e] = new if e not in born else min(born[e], new, key=lambda x: (x[0], x[2] or ""))
-            elif at is not None:
-                told[e] = _better(told.get(e), (sync, at, truth))
-        rows = [(e, x[0], "concept_create", x[1], x[2]) for e, x in born.items()] + [(e, x[0], "truth_update", x[1], x[2]) for e, x in told.items()] + [(e, x, "retire", None, None) for e, x in gone.items()]
-        out = pd.DataFrame(rows, columns=["entity_id", "sync_id", "op", "at", "truth"])
-        yield out.astype({"at": "Int64"})
+#: After so many micro-batches the state table is written anew as one base.
+COMPACT_EVERY = 20
 
 
 def concept_upserts(journal_stream: DataFrame) -> DataFrame:
-    """The stream of upserts; the state store must be RocksDB, as keyed state requires."""
-    # folded before the shuffle: an entity with a third of all rows sends three rows a batch
-    return readable_changes(journal_stream).mapInPandas(_prefold, CHANGE).groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=make_processor(), outputStructType=UPSERT, outputMode="Update", timeMode="None"
+    """The stream of upserts. The keyed state of an entity is its create, its standing update (payload and instant) and its tombstone;
+    a change that isn't newer leaves the state as it is. The state is a built-in aggregate, so it stays in the JVM, and a hot entity
+    sends one row per partition and micro-batch."""
+    s = _folded(readable_changes(journal_stream)).where(F.col("born").isNotNull())
+    by_update, pick = _by_update(), lambda f, g: F.when(_by_update(), f).otherwise(g)
+    return s.select(
+        "entity_id", pick(F.col("told.sync_id"), F.col("born.sync_id")).alias("sync_id"), pick(F.col("told.truth"), F.col("born.truth")).alias("truth"),
+        F.when(by_update, -F.col("told.neg")).otherwise(F.col("born.at")).alias("at_micros"), (F.col("gone") == 0).alias("living"),
     )
 
 
-def start_state_table(journal_stream: DataFrame, folder: str, checkpoint: str, once: bool = True):
+def _path(spark: SparkSession, folder: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers N of the complete folders name=N."""
+    fs, p = _path(spark, folder)
+    if not fs.exists(p):
+        return []
+    found = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(f.getName().partition("=")[2]) for f in found if fs.exists(_path(spark, f"{f}/_SUCCESS")[1]))
+
+
+def _latest(spark: SparkSession, folder: str) -> DataFrame:
+    """Per entity the row of the highest batch, tombstones too: the newest base and the batches after it."""
+    base = max(_numbers(spark, f"{folder}/bases", "base"), default=None)
+    parts = [n for n in _numbers(spark, f"{folder}/batches", "batch") if base is None or n > base]
+    rows = spark.createDataFrame([], f"{UPSERT}, batch long")
+    if base is not None:
+        rows = spark.read.schema(UPSERT).parquet(f"{folder}/bases/base={base}").withColumn("batch", F.lit(base).cast("long"))
+    if parts:
+        new = spark.read.option("basePath", f"{folder}/batches").schema(f"{UPSERT}, batch long").parquet(*[f"{folder}/batches/batch={n}" for n in parts])
+        rows = rows.unionByName(new)
+    names = ("sync_id", "truth", "at_micros", "living")
+    return rows.groupBy("entity_id").agg(F.max_by(F.struct(*names), "batch").alias("x")).select("entity_id", *[F.col(f"x.{n}") for n in names])
+
+
+def compact_state_table(spark: SparkSession, folder: str, upto: int) -> None:
+    """Write the state after batch `upto` as one base. Batches it holds are dropped once it is complete, and bases but the one before;
+    a batch that is repeated later is at or below the base, so it changes nothing."""
+    _latest(spark, folder).write.mode("overwrite").parquet(f"{folder}/bases/base={upto}")
+    fs, _ = _path(spark, folder)
+    for name, below in (("batch", upto + 1), ("base", max([n for n in _numbers(spark, f"{folder}/bases", "base") if n < upto], default=0))):
+        for n in _numbers(spark, f"{folder}/{'batches' if name == 'batch' else 'bases'}", name):
+            if n < below:
+                fs.delete(_path(spark, f"{folder}/{'batches' if name == 'batch' else 'bases'}/{name}={n}")[1], True)
+
+
+def start_state_table(journal_stream: DataFrame, folder: str, checkpoint: str, once: bool = True, compact_every: int = COMPACT_EVERY):
     """Run the stream into `folder`: every micro-batch overwrites its own partition batch=N, so a repeated batch changes nothing."""
 
     def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{folder}/batches/batch={batch}")
+        if batch % compact_every == compact_every - 1:
+            compact_state_table(df.sparkSession, folder, batch)
 
     w = concept_upserts(journal_stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (w.trigger(availableNow=True) if once else w).start()
@@ -193,16 +164,15 @@ def start_state_table(journal_stream: DataFrame, folder: str, checkpoint: str, o
 
 def read_state_table(spark: SparkSession, folder: str) -> DataFrame:
     """The current state: per entity the row of the highest batch, without tombstones."""
-    rows = spark.read.schema(UPSERT + ", batch long").parquet(folder)
-    last = W.partitionBy("entity_id").orderBy(F.desc("batch"))
-    return rows.withColumn("n", F.row_number().over(last)).where("n = 1 and living").select("entity_id", "sync_id", "truth", F.timestamp_micros("at_micros").alias("at"))
+    return _latest(spark, folder).where("living").select("entity_id", "sync_id", "truth", F.timestamp_micros("at_micros").alias("at"))
 
 
-def replay(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Feed all files of a journal through the stream and return the state table, kept in the shared folder."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def replay(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Feed all files of a journal through the stream and return the state table, kept in the shared folder. By default a micro-batch
+    takes a quarter of the files, at most 1 000."""
+    files_per_batch = files_per_batch or max(1, min(1000, len(spark.read.parquet(path).inputFiles()) // 4))
     base = f"{shared_folder(spark).rstrip('/')}/journal-{uuid.uuid4().hex}"
-    spark.createDataFrame([], UPSERT).write.parquet(f"{base}/state/batch=-1")
-    stream = stream_parquet(spark, path, files_per_batch)
-    start_state_table(stream, f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    with session_setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        query = start_state_table(stream_parquet(spark, path, files_per_batch), f"{base}/state", f"{base}/checkpoint")
+    query.awaitTermination()
     return read_state_table(spark, f"{base}/state")

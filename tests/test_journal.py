@@ -57,8 +57,8 @@ def test_instants(spark, text, want):
     assert df.select(journal.instant_micros(F.col("t")).alias("m")).first().m == want
 
 
-def test_stream_gives_the_same_state(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@pytest.mark.parametrize("every", [1, 2, 20])
+def test_stream_gives_the_same_state(spark, tmp_path, every):
     rows = ROWS + ROWS[::2]
     random.Random(7).shuffle(rows)
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
@@ -66,7 +66,19 @@ def test_stream_gives_the_same_state(spark, tmp_path):
     for i in range(3):  # three arrivals, the query restarted between them
         part = rows[i * third : (i + 1) * third if i < 2 else None]
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
-        journal.start_state_table(spark.readStream.schema(SCHEMA).parquet(src), out, ck).awaitTermination()
+        journal.start_state_table(spark.readStream.schema(SCHEMA).parquet(src), out, ck, compact_every=every).awaitTermination()
     assert state(journal.read_state_table(spark, out)) == WANT
-    journal.start_state_table(spark.readStream.schema(SCHEMA).parquet(src), out, ck).awaitTermination()
+    journal.start_state_table(spark.readStream.schema(SCHEMA).parquet(src), out, ck, compact_every=every).awaitTermination()
     assert state(journal.read_state_table(spark, out)) == WANT
+    if every == 1:  # a batch that comes again after it was compacted changes nothing
+        spark.createDataFrame([("a", "00", "old", 0, True)], journal.UPSERT).write.mode("overwrite").parquet(f"{out}/batches/batch=0")
+        assert state(journal.read_state_table(spark, out)) == WANT
+
+
+def test_replay_in_several_batches_keeps_settings(spark, tmp_path):
+    rows = ROWS + ROWS[::3]
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, SCHEMA).repartition(6).write.parquet(str(tmp_path / "j"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert state(journal.replay(spark, str(tmp_path / "j"), files_per_batch=2)) == WANT
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
