@@ -2,7 +2,8 @@
 
 Quoted strings and long tokens are extracted; their Shannon entropy is held against a threshold that depends on the alphabet
 (hex, alphanumeric, base64, printable) and on the length, since a short string cannot reach the entropy of its alphabet. Names of
-the assigned field, call or header lower the threshold. Hashes, identifiers, public keys, references and placeholders are left out.
+the assigned field, call or header lower the threshold (`NAMED_SHARE`). Literals that are joined or glued together are one value.
+Hashes, identifiers, public keys, references and placeholders are left out. Values and lines are taken whole, whatever their length.
 
 Each record is handled alone, in Arrow batches, with no shuffle. Values are blanked with a filler of the same kind, so quotes,
 separators and line count stay. Defined cases: null content gives no finding and stays null; empty content stays empty.
@@ -33,7 +34,7 @@ ISSUED = r"(?:sk-|sk_live_|rk_live_|gh[pousr]_|github_pat_|xox[abeprs]-|AKIA|ASI
 _NAMES = "|".join(sorted(map(re.escape, SECRET_NAMES), key=len, reverse=True))
 _OPEN = r"(?:b|r|u|f|\[\]byte\(|bytes\.fromhex\()?"
 _ASSIGN = re.compile(
-    rf"(?i)(?<![A-Za-z])(?:[\w.\-$]*?[_\-.]|[\w.]*?)({_NAMES})(?:_?[0-9])?[\"'`]?\]?\s*(?::\s*\w+\s*=|:=|=>|\?\?=|\|\|=|=(?!=)|:)\s*{_OPEN}(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|[^\s,;)\]}}>]+)"
+    rf"(?i)({_NAMES})(?:_?[0-9])?[\"'`]?\]?\s*(?::\s*\w+\s*=|:=|=>|\?\?=|\|\|=|=(?!=)|:)\s*{_OPEN}(\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|[^\s,;)\]}}>]+)"
 )
 _XML = re.compile(rf"(?i)(?:key|name)=[\"'][\w.\-]*(?:{_NAMES})[\"']\s+value=(\"[^\"\n]*\"|'[^'\n]*')")
 _PROSE = re.compile(rf"(?i)(?<!\w)(?:{_NAMES}|key|mot de passe)(?: (?:for|of|to|für|de|pour|para) \S+)? (?:is|was|ist|lautet|es|est|é|:|=) +(\S+)")
@@ -41,9 +42,15 @@ _FLAG = re.compile(rf"(?i)(?:--?[\w\-]*(?:{_NAMES}|key)[ =]+|\bsshpass +-p *|\bl
 _LOGIN = re.compile(r"(?i)\b(?:log ?in|sign ?in|log on|anmelden|connect|melden sie sich)\b[^\n/]{0,30}? (?:as|with|als|mit) (\S+) ?/ ?(\S+)")
 _HEADER = re.compile(r"(?i)\b(basic|bearer|token) +([A-Za-z0-9+/=_.~\-]{8,})")
 _CALL = re.compile(r"(?i)\b(?:connect|login|authenticate|setbasicauth|basicauth|auth)\(([^()\n]*)\)")
-_QUOTED = re.compile(r"\"([^\"\s\\]{8,400})\"|'([^'\s\\]{8,400})'|`([^`\s\\]{8,400})`")
+_QUOTED = re.compile(r"\"([^\"\s\\]{8,})\"|'([^'\s\\]{8,})'|`([^`\s\\]{8,})`")
+#: A field or header that is only called a key: its value must be random by itself, as hex or otherwise.
+_KEYED = re.compile(r"(?i)(?:(?<![\w.\-])|[_\-])key[\"'`]?\]?\s*(?::=|=(?!=)|:)\s*(?:[\w.\[\]]+\()?(\"[^\"\n]*\"|'[^'\n]*'|[^\s,;)\]}>\"']+)")
+_LITERAL = r"(?:\"[^\"\s\\]+\"|'[^'\s\\]+')"
+_JOINED = re.compile(rf"(\"\"\.join\(\s*[\[(]\s*|''\.join\(\s*[\[(]\s*)?({_LITERAL}(?:\s*[,+]\s*(?:\\\n\s*)?{_LITERAL})+)(\s*,?\s*\]\s*\.join\(\s*(?:\"\"|'')\s*\))?")
+_ONE_LITERAL = re.compile(_LITERAL)
 _LONG = re.compile(r"[A-Za-z0-9+/_=~.\-]{12,}")
 _USERINFO = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.\-]*://|[\"'`(= ])([^\s\"'`:/@]*):([^\s\"'`@/]{4,})\Z")
+_SCHEME = re.compile(r"[a-zA-Z0-9+.\-]*\Z")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----")
 _PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 _PUBLIC = re.compile(r"(?:ssh-(?:rsa|dss|ed25519)|ecdsa-sha2-\S+) +[A-Za-z0-9+/=]+|\bsha(?:1|256|384|512)[-:][A-Za-z0-9+/=]+|\bmd5[-:][0-9a-f]+")
@@ -86,6 +93,19 @@ def classes(s: str) -> int:
     return low + up + dig + sign
 
 
+#: Share of the largest entropy that a value needs whose name says that it is a secret; people choose them.
+NAMED_SHARE = 0.5
+
+
+def alphabet(s: str) -> int:
+    return 16 if _HEX.match(s) else 62 if s.isalnum() else 94
+
+
+def named_random(s: str) -> bool:
+    """Entropy enough for a value that a name marks as a secret."""
+    return entropy(s) >= NAMED_SHARE * math.log2(min(len(s), alphabet(s)))
+
+
 def threshold(s: str) -> float:
     """Bits per character that a random string of this alphabet and length nearly always reaches: of n draws from A signs, log2 of
     the smaller, less the loss by repeated draws."""
@@ -146,11 +166,15 @@ def _switches(s: str) -> int:
 
 
 def live(value: str, quoted: bool) -> bool:
-    """A value assigned to a secret's name: neither empty, nor a placeholder, nor a reference, nor a plain word."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or _NOT_VALUE.match(value) or (not quoted and _CALLED.match(value)):
+    """A value assigned to a secret's name: entropy enough, neither empty, nor a placeholder, nor a reference, nor a plain word. A
+    quoted passphrase is four or more words in lower case, or words with a digit among them."""
+    if len(value) < 6 or _PLACEHOLDER.match(value) or (not quoted and _CALLED.match(value)) or not named_random(value):
         return False
-    if " " in value.strip():
+    if _NOT_VALUE.match(value) and (value[0].isalnum() or value[-1] in "})]>" or not random_like(value, True)):
         return False
+    if " " in value.strip():
+        words = value.split()
+        return quoted and (len(words) >= 4 and all(re.fullmatch(r"[a-z]{3,}\d*", w) for w in words) or any(re.fullmatch(r"(?=.*\d)(?=.*[A-Za-z])(?=.*[^\w\s])\S{6,}", w) for w in words))
     if any(c.isdigit() for c in value):
         if value.isdigit():
             return quoted and len(value) >= 8
@@ -167,6 +191,8 @@ def _unquote(v: str, at: int) -> tuple[str, int, bool]:
     if v[:1] in "\"'`" and len(v) >= 2 and v[-1] == v[0]:
         return v[1:-1], at + 1, True
     q = v[:1] in "\"'`"
+    if q and (end := v.find(v[0], 1)) > 0:
+        return v[1:end], at + 1, True
     return v.strip("\"'`"), at + q, q
 
 
@@ -200,7 +226,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
     at = text.find("@")
     while at >= 0:  # user:password@host
-        left = max(text.rfind("\n", 0, at) + 1, at - 200)
+        left = text.rfind("\n", 0, at) + 1
+        run = max(text.rfind(c, left, at) for c in "\"'`@/ \t")  # the sign before user:password
+        left = max(left, run - 2)
+        if text.startswith("://", left):
+            left -= len(_SCHEME.search(text[max(0, left - 40) : left])[0])
         m = _USERINFO.search(text[left:at])
         if m and live(m[2], True) and (text.startswith("tcp(", at + 1) or re.match(r"[\w\-]+(?:\.[\w\-]+)*|\[", text[at + 1 : at + 60])):
             add(left + m.start(2), left + m.end(2), "url_password")
@@ -211,11 +241,20 @@ def find(text: str) -> list[tuple[int, int, str]]:
         a, e = text.rfind("\n", 0, at) + 1, text.find("\n", at)
         e = e if e >= 0 else len(text)
         m = _HEX_LITERAL.match(text, at, e)
-        if m and _NAMED.search(text[max(a, at - 300) : at] + text[m.end() : min(e, m.end() + 300)]):
+        if m and (_NAMED.search(text, a, at) or _NAMED.search(text, m.end(), e)):
             add(m.start(1), m.end(1), "encoded")
         at = text.find("fromhex(", at + 1)
     for a, e in _cued(text):
         _contextual(text[a:e], a, add)
+    if "+" in text or ".join(" in text:
+        for m in _JOINED.finditer(text):
+            pieces = list(_ONE_LITERAL.finditer(m[2]))
+            between = "".join(m[2][p.end() : q.start()] for p, q in zip(pieces, pieces[1:]))
+            if "," in between and not m[1] and not m[3]:
+                continue  # a plain list
+            if random_like("".join(p[0][1:-1] for p in pieces), True):
+                for n, p in enumerate(pieces):
+                    add(m.start(2) + p.start() + 1, m.start(2) + p.end() - 1, "part" if n else "quoted")
 
     for m in _QUOTED.finditer(text):
         v = m[1] or m[2] or m[3]
@@ -238,32 +277,26 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return _settle(text, out)
 
 
-#: A run of signs that could be a value: letters with digits, or letters that change case or meet signs.
-_COULD_BE = re.compile(r"[A-Za-z][!-~]*?\d|\d[!-~]*?[A-Za-z]|[a-z][A-Z!?*#+%^&$]|[!?*#+%^&$][A-Za-z]")
+#: What could be a value: letters with digits, letters that change case or meet signs, or a quoted passphrase.
+_COULD_BE = re.compile(r"[A-Za-z][!-~]*?\d|\d[!-~]*?[A-Za-z]|[a-z][A-Z!?*#+%^&$]|[!?*#+%^&$][A-Za-z]|[\"'`][a-z]{3,}(?: [a-z]{3,}){3,}[\"'`]")
 
 
 def _cued(text: str) -> list[tuple[int, int]]:
-    """Windows of single lines around cue words that are followed by something that could be a value; overlapping ones are joined."""
+    """Lines with a cue word that is followed by something that could be a value, each once."""
     low = text.lower()
     if len(low) != len(text):  # lower-casing moved offsets
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    spans: list[tuple[int, int]] = []
+    spans: set[tuple[int, int]] = set()
     for cue in _CUES:
         p = low.find(cue)
         while p >= 0:
-            if _COULD_BE.search(text, p + len(cue), p + 160):
-                a = max(text.rfind("\n", max(0, p - 60), p) + 1, p - 60)
-                e = text.find("\n", p, p + 500)
-                spans.append((a, e if e >= 0 else min(len(text), p + 500)))
+            e = text.find("\n", p)
+            e = e if e >= 0 else len(text)
+            if _COULD_BE.search(text, p + len(cue), e):
+                spans.add((text.rfind("\n", 0, p) + 1, e))
+                p = e
             p = low.find(cue, p + len(cue))
-    out: list[tuple[int, int]] = []
-    for a, e in sorted(spans):
-        if out and a <= out[-1][1]:
-            if e > out[-1][1]:
-                out[-1] = (out[-1][0], e)
-        else:
-            out.append((a, e))
-    return out
+    return sorted(spans)
 
 
 def _contextual(line: str, at: int, add) -> None:
@@ -277,6 +310,10 @@ def _contextual(line: str, at: int, add) -> None:
             v = v.rstrip("\\\",;)]}") if not q else v
             if live(v, q) and (rx is _XML or any(c.isdigit() for c in v)):
                 add(at + s, at + s + len(v), "named")
+    for m in _KEYED.finditer(line):
+        v, s, q = _unquote(m[1], m.start(1))
+        if any(c.isdigit() for c in v) and entropy(v) >= threshold(v) and (len(v) >= 32 and _HEX.match(v) or len(v) >= 16 and classes(v) >= 3 and not excluded(v)) and not _PLACEHOLDER.match(v):
+            add(at + s, at + s + len(v), "named")
     for m in _PROSE.finditer(line):
         v, p, _ = _unquote(m[1].rstrip(".,;:!?)"), m.start(1))
         if live(v, False) and any(c.isdigit() for c in v) and (re.fullmatch(r"[A-Za-z]{4,}\d{2,6}", v) or not excluded(v)):

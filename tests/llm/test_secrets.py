@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quillspark.llm import secrets
@@ -56,3 +58,34 @@ def test_operator_defined_cases(spark):
     red = {r.source_id: r.content for r in secrets.redact_secrets(df).collect()}
     assert red["a"] is None and red["b"] == "" and "Qx7" not in red["c"] and len(red["d"]) == 300_000
     assert secrets.find_secrets(df.where("false")).count() == 0
+
+
+def test_long_values_go_whole():
+    rng = random.Random(5)
+    for n in (900, 5000, 60_000):
+        v = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+        for line in (f'api_key = "{v}"', f"token: {v}", f'{{"a": 1, "clientSecret": "{v}", "b": 2}}', f"url = https://user:{v}@host.example/x", f"x = 1; password=`{v}`;"):
+            text = f"first = 1\n{line}\nlast = 2"
+            out = secrets.redact(text)
+            assert v[:20] not in out and v[-20:] not in out and out == text.replace(v, "REDACTED"), line[:40]
+            assert secrets.lines_of(text) == [2]
+
+
+def test_values_far_along_a_line():
+    pad = "x" * 3 + " " * 700
+    assert secrets.lines_of(f'{pad} password = "hunter2Blue!" {pad} secret: Zr8-kkq0-XXw') == [1]
+    assert secrets.redact(f'{pad}password = "hunter2Blue!"{pad}').endswith(f'password = "REDACTED"{pad}')
+
+
+def test_joined_literals_and_bare_keys():
+    joined = 'const a = ["COmOdfHua", "OQFxirPjQdHpVC",\n  "tj4FHJLOwAb"].join("");'
+    assert secrets.lines_of(joined) == [1] and secrets.redact(joined) == 'const a = ["REDACTED", "REDACTED",\n  "REDACTED"].join("");'
+    assert secrets.lines_of('b = "etkrhyy5z" + "TmGXhWoHJweiiF" + "KZgCLjipdsy"') == [1]
+    assert secrets.lines_of('c = ["plain", "words", "only"].join("")') == [] and secrets.lines_of('d = ["COmOdfHua1", "OQFxirPjQdHpVC"]') == []
+    assert secrets.lines_of('headers: { "x-own-key": "b1352b75292fddb2534b773ac6a01e89707081f9" }') == [1]
+    assert secrets.lines_of('commit = "b1352b75292fddb2534b773ac6a01e89707081f9"') == [] and secrets.lines_of('"cacheKey": "users"') == []
+
+
+def test_passphrases():
+    assert secrets.lines_of('passphrase = "correct horse battery staple"') == [1]
+    assert secrets.lines_of('password: "Please enter your password"') == [] and secrets.lines_of('password = "aaaaaaaa1"') == []
