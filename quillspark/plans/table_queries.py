@@ -17,6 +17,7 @@ def stamp(c: str, name: str | None = None):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name or c)
 
 
+_SLUGIFY = "substr(regexp_replace(regexp_replace(replace(lower(name), '''', ''), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 100)"
 _LOG = "log AS (SELECT DISTINCT * FROM query_log)"
 
 
@@ -174,7 +175,7 @@ def rolling_week(spark: SparkSession, d: str) -> DataFrame:
 INTENTS = (
     ("entity_lookup", r"^(who|what) is\s+"), ("entity_lookup", r"^(tell me about|explain|describe)\s+"), ("graph_path", r"path (from|between)\s+"), ("graph_path", r"how (does|do|is).+(connect|relate|link)"),
     ("neighborhood", r"(related to|neighbors of|connected to)\s+"), ("temporal", r"(what|when).+(happen|occur).+(in|on|during)"), ("temporal", r"(timeline|history|chronology) of"),
-    ("self_knowledge", r"(what (have|did) i (say|said|write|wrote|note|noted)|my (notes|thoughts) on)"),
+    ("originals", r"(what (have|did) i (say|said|write|wrote|note|noted)|my (notes|thoughts) on)"),
 )
 
 
@@ -186,9 +187,16 @@ def intents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "query_log").where("query_text is not null").select("query_text", F.coalesce(c, F.lit("hybrid_search")).alias("intent")).distinct()
 
 
-@register("SELECT from_slug, to_slug, relation, max(weight) AS weight, min(source_id) AS source_id FROM edges GROUP BY 1, 2, 3")
+@register(f"""WITH a AS (SELECT {_SLUGIFY} AS alias, min(slug) AS canonical_slug FROM concepts GROUP BY 1), al AS (SELECT a.* FROM a WHERE alias NOT IN (SELECT slug FROM concepts)),
+e AS (SELECT coalesce(f.canonical_slug, from_slug) AS from_slug, coalesce(t.canonical_slug, to_slug) AS to_slug, relation, weight, source_id, s.added_at AS seq FROM edges LEFT JOIN al f ON f.alias = from_slug LEFT JOIN al t ON t.alias = to_slug LEFT JOIN sources s ON s.id = source_id),
+n AS (SELECT from_slug, to_slug, relation, source_id FROM e WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY from_slug, to_slug, relation ORDER BY seq DESC NULLS LAST, source_id DESC) = 1)
+SELECT from_slug, to_slug, relation, max(weight) AS weight, any_value(n.source_id) AS source_id FROM e LEFT JOIN n USING (from_slug, to_slug, relation) GROUP BY 1, 2, 3""")
 def edge_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return folds.upsert_edges(table(spark, d, "edges"))
+    """Edges in order of arrival of their sources, with ends that are known aliases resolved."""
+    c = table(spark, d, "concepts")
+    aliases = c.groupBy(T.slug(F.col("name")).alias("alias")).agg(F.min("slug").alias("canonical_slug")).join(c.select(F.col("slug").alias("alias")), "alias", "left_anti")
+    e = table(spark, d, "edges").join(table(spark, d, "sources").select(F.col("id").alias("source_id"), F.col("added_at").alias("seq")), "source_id", "left")
+    return folds.upsert_edges(e, aliases)
 
 
 @register("""WITH c AS (SELECT DISTINCT entity_id AS slug, sync_id AS seq, json_extract_string(payload, '$.name') AS name, json_extract_string(payload, '$.summary') AS summary, json_extract_string(payload, '$.compiled_truth') AS truth FROM sync_journal WHERE op = 'concept_create' AND json_valid(payload))
@@ -219,9 +227,11 @@ def enrichment_queue(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "concepts").where("enrichment_queued = 1").orderBy("enrichment_tier", F.desc("mention_count"), "slug").limit(10).select("slug", "enrichment_tier", "mention_count")
 
 
-@register("""WITH f AS (SELECT sync_id, created_at, json_extract_string(payload, '$.concept_slug') AS slug, CAST(json_extract_string(payload, '$.delta') AS INT) AS delta FROM sync_journal WHERE op = 'feedback' AND json_valid(payload) QUALIFY row_number() OVER (PARTITION BY sync_id ORDER BY created_at, payload) = 1),
-r AS (SELECT *, sum(delta) OVER (PARTITION BY slug ORDER BY created_at, sync_id ROWS UNBOUNDED PRECEDING) AS run FROM f WHERE delta IN (-1, 1) AND slug IS NOT NULL)
-SELECT slug, CAST(sum(delta) AS BIGINT) AS score, arg_min(sync_id, struct_pack(a := created_at, b := sync_id)) FILTER (run <= -3) AS retired_by FROM r GROUP BY slug""")
+@register("""WITH f AS (SELECT sync_id, created_at, json_extract_string(payload, '$.concept_slug') AS slug, CAST(json_extract_string(payload, '$.delta') AS INT) AS delta, json_extract_string(payload, '$.reason') AS reason FROM sync_journal WHERE op = 'feedback' AND json_valid(payload) QUALIFY row_number() OVER (PARTITION BY sync_id ORDER BY created_at, payload) = 1),
+r AS (SELECT *, sum(delta) OVER (PARTITION BY slug ORDER BY created_at, sync_id ROWS UNBOUNDED PRECEDING) AS run FROM f WHERE delta IN (-1, 1) AND slug IS NOT NULL),
+g AS (SELECT slug, arg_min(struct_pack(a := created_at, b := sync_id), struct_pack(a := created_at, b := sync_id)) FILTER (run <= -3) AS r FROM r GROUP BY slug),
+w AS (SELECT slug, reason FROM r JOIN g USING (slug) WHERE delta < 0 AND reason IS NOT NULL AND struct_pack(a := created_at, b := sync_id) <= g.r QUALIFY row_number() OVER (PARTITION BY slug ORDER BY created_at DESC, sync_id DESC) = 1)
+SELECT r.slug, CAST(sum(delta) AS BIGINT) AS score, any_value(g.r.b) AS retired_by, any_value(w.reason) AS reason FROM r LEFT JOIN g USING (slug) LEFT JOIN w USING (slug) GROUP BY r.slug""")
 def feedback_retire(spark: SparkSession, d: str) -> DataFrame:
     return folds.retirements(folds.feedback_events(table(spark, d, "sync_journal")))
 
@@ -234,7 +244,6 @@ def lww_apply(spark: SparkSession, d: str) -> DataFrame:
     return folds.truth_outcomes(table(spark, d, "sync_journal"))
 
 
-_SLUGIFY = "substr(regexp_replace(regexp_replace(replace(lower(name), '''', ''), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 100)"
 
 
 @register(f"""WITH a AS (SELECT {_SLUGIFY} AS alias, min(slug) AS canonical_slug FROM concepts GROUP BY 1), e AS (SELECT DISTINCT entity_id AS slug FROM sync_journal)
@@ -269,10 +278,19 @@ def first_chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("position", "id"))).where("n <= 8").drop("n")
 
 
-@register("SELECT DISTINCT c.id, c.source_id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM sources s WHERE s.id = c.source_id AND s.content <> '')")
+@register("""WITH gone AS (SELECT id FROM sources WHERE word_count = 0 OR substr(id, 1, 1) = '0'), dead AS (SELECT slug FROM concepts WHERE retired_at IS NOT NULL)
+SELECT DISTINCT 'chunks' AS child, c.id AS key, 'delete' AS action FROM chunks c WHERE source_id IN (SELECT id FROM gone) UNION SELECT 'edges', from_slug || '>' || to_slug || '>' || relation, 'delete' FROM edges WHERE from_slug IN (SELECT slug FROM dead) OR to_slug IN (SELECT slug FROM dead)
+UNION SELECT 'edges', from_slug || '>' || to_slug || '>' || relation, 'set null' FROM edges WHERE source_id IN (SELECT id FROM gone) AND from_slug NOT IN (SELECT slug FROM dead) AND to_slug NOT IN (SELECT slug FROM dead)""")
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks that go with sources whose content is empty or that are gone."""
-    return table(spark, d, "chunks").select("id", "source_id").distinct().join(table(spark, d, "sources").where("content <> ''").select(F.col("id").alias("source_id")), "source_id", "left_anti").select("id", "source_id")
+    """What goes with sources without words and retired concepts: chunks and edges; edges of other concepts only lose their source."""
+    gone = table(spark, d, "sources").where("word_count = 0 or substr(id, 1, 1) = '0'").select(F.col("id").alias("source_id"))
+    dead = table(spark, d, "concepts").where("retired_at is not null").select("slug")
+    chunks = table(spark, d, "chunks").join(gone, "source_id", "left_semi").select(F.lit("chunks").alias("child"), F.col("id").alias("key"), F.lit("delete").alias("action"))
+    e = table(spark, d, "edges").withColumn("key", F.concat_ws(">", "from_slug", "to_slug", "relation"))
+    hit = e.join(dead.withColumnRenamed("slug", "from_slug"), "from_slug", "left_semi").select("key").union(e.join(dead.withColumnRenamed("slug", "to_slug"), "to_slug", "left_semi").select("key")).distinct()
+    orphans = e.join(gone, "source_id", "left_semi").select("key").join(hit, "key", "left_anti")
+    edge = lambda df, a: df.select(F.lit("edges").alias("child"), "key", F.lit(a).alias("action"))
+    return chunks.unionByName(edge(hit, "delete")).unionByName(edge(orphans, "set null")).distinct()
 
 
 @register("WITH m AS (SELECT max(added_at) AS now FROM sources) SELECT id FROM sources, m WHERE compiled_at IS NULL OR floor((epoch_us(now) - epoch_us(compiled_at)) / 1000000) >= 86400")
@@ -295,10 +313,16 @@ def scope_overview(spark: SparkSession, d: str) -> DataFrame:
     return s.join(c, ["kind", "key"], "left").select("kind", "key", F.coalesce("label", "key").alias("label"), F.coalesce("concepts", F.lit(0)).alias("concepts"))
 
 
-@register("""WITH c AS (SELECT slug, lower(compiled_truth) AS low FROM concepts), f AS (SELECT slug AS mentions, slug AS form FROM concepts UNION SELECT slug, replace(slug, '-', ' ') FROM concepts)
+@register("""WITH w AS (SELECT DISTINCT lower(regexp_extract(compiled_truth, '[A-Za-z]+ ([a-z]+ [a-z]+)', 1)) AS s FROM concepts), names AS (SELECT replace(s, ' ', '-') AS slug FROM w WHERE s <> '' UNION SELECT split_part(s, ' ', 1) FROM w WHERE length(s) > 14 UNION SELECT 'that-' || split_part(s, ' ', 1) || '-was' FROM w WHERE s <> '' UNION SELECT slug FROM concepts),
+c AS (SELECT slug, lower(compiled_truth) AS low FROM concepts), f AS (SELECT slug AS mentions, lower(slug) AS form FROM names UNION SELECT slug, replace(lower(slug), '-', ' ') FROM names)
 SELECT DISTINCT slug, mentions FROM c JOIN f ON slug <> mentions AND contains(low, form)""")
 def auto_links(spark: SparkSession, d: str) -> DataFrame:
-    return folds.auto_links(table(spark, d, "concepts").select("slug", F.col("compiled_truth").alias("truth")))
+    """Known concepts, and concepts named by words of the truths."""
+    c = table(spark, d, "concepts").select("slug", F.col("compiled_truth").alias("truth"))
+    w = c.select(F.lower(F.regexp_extract("truth", "[A-Za-z]+ ([a-z]+ [a-z]+)", 1)).alias("s")).where("s <> ''").distinct()
+    first = F.split("s", " ")[0]
+    names = w.select(F.replace("s", F.lit(" "), F.lit("-"))).union(w.where("length(s) > 14").select(first)).union(w.select(F.concat(F.lit("that-"), first, F.lit("-was")))).toDF("slug").distinct().join(c.select("slug"), "slug", "left_anti")
+    return folds.auto_links(c.unionByName(names.withColumn("truth", F.lit(None).cast("string"))))
 
 
 _STEPS = "array<struct<n:long,tool:string,args:map<string,string>,result_summary:string,result_ok:boolean,elapsed_ms:long>>"
