@@ -36,9 +36,21 @@ def search_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(t, "_", " ")), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
 
 
+def _accents() -> tuple[str, str]:
+    """Accented letters of the Latin blocks, and the letters without."""
+    import unicodedata
+
+    pairs = [(chr(o), unicodedata.normalize("NFD", chr(o))[0]) for o in range(0xC0, 0x250)]
+    kept = [(x, y) for x, y in pairs if x != y and y.isascii() and x == x.lower()]
+    return "".join(x for x, _ in kept), "".join(y for _, y in kept)
+
+
+ACCENTS = _accents()
+
+
 def plain_tokens(c: Column) -> Column:
-    """Tokens of the inverted index without stemming: lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    """Tokens of the inverted index before stemming: lower-case runs of letters and digits of any script, without accents."""
+    return F.filter(F.split(F.translate(F.lower(c), *ACCENTS), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def set_tokens(c: Column) -> Column:

@@ -21,6 +21,7 @@ def build_session(app: str = "quillspark", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
@@ -53,9 +54,21 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the application, which is the last to read it
     return spark.read.parquet(path)
 
 
+def file_stamp(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of the files of a table: what an index of it is good for."""
+    out = []
+    for f in sorted(spark.read.parquet(path).inputFiles()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f)
+        st = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append(f"{f}:{st.getLen()}:{st.getModificationTime()}")
+    return "|".join(out)
+
+
 @contextmanager
 def session_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A setting for what is planned or started inside; the session's own comes back afterwards."""
