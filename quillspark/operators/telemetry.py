@@ -69,11 +69,48 @@ def rate_limited(log: DataFrame, key: str, seconds: int, limit: int) -> DataFram
 
 
 def latency_percentiles(log: DataFrame, *keys: str) -> DataFrame:
-    """The element floor(n p) of the sorted latencies, not interpolated. Ranks are cut from a running number per key after counting, so no
-    list of a key's values is built; a hot key is one sorted window."""
-    c = calls(log).where("latency_ms is not null")
-    n = c.groupBy(*keys).agg(F.count("*").alias("n"))
-    r = c.withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy("latency_ms", "id")) - 1).join(F.broadcast(n), list(keys))  # one row per tool name
+    """The element floor(n p) of the sorted latencies, not interpolated. Calls are counted per latency first, so a key's window holds its
+    different latencies, not its calls."""
+    c = calls(log).where("latency_ms is not null").groupBy(*keys, "latency_ms").agg(F.count("*").alias("c"))
+    w = W.partitionBy(*keys)
+    r = c.withColumn("upto", F.sum("c").over(w.orderBy("latency_ms").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
     at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    pick = lambda p: F.max(F.when(F.col("i") == at(p), F.col("latency_ms")))
+    pick = lambda p: F.min(F.when(F.col("upto") > at(p), F.col("latency_ms")))
     return r.groupBy(*keys).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
+
+
+def budget_hints(log: DataFrame, scopes: DataFrame) -> DataFrame:
+    """For scopes(kind, key): sessions, savings and hit rate of the scope's own row, else of all; the mean tokens are those of all."""
+    all_, per = cost_avoided(log), cost_by_scope(log)
+    total = all_.select(F.col("sessions").alias("s"), F.col("saved").alias("v"), F.col("hit_rate").alias("h"), F.col("with_skill"), F.col("baseline"))  # one row
+    own = per.select(F.col("scope_kind").alias("kind"), F.col("scope_key").alias("key"), "sessions", "saved", "hit_rate")
+    j = scopes.select("kind", "key").distinct().join(own, ["kind", "key"], "left").crossJoin(F.broadcast(total))
+    return j.select("kind", "key", F.coalesce("sessions", "s").alias("sessions"), "with_skill", F.col("baseline").alias("without_skill"), F.coalesce("saved", "v").alias("saved"), F.coalesce("hit_rate", "h").alias("hit_rate"))
+
+
+def session_lines(log: DataFrame) -> DataFrame:
+    """(session_id, line_no, line): the calls of a session as numbered lines, in order."""
+    c = calls(log).where("session_id is not null")
+    n = F.row_number().over(W.partitionBy("session_id").orderBy("timestamp", "id", "tool_name"))
+    text = F.when(F.length("query_text") > 120, F.concat(F.substring("query_text", 1, 117), F.lit("..."))).otherwise(F.coalesce("query_text", F.lit("")))
+    line = F.concat(F.lit(". "), F.col("tool_name"), F.lit(' "'), text, F.lit('"'), F.when(F.col("skill_hit") == 1, " (skill_hit)").otherwise(""), F.coalesce(F.concat(F.lit(" "), F.col("tokens_spent").cast("string"), F.lit("t")), F.lit("")))
+    return c.withColumn("line_no", n).select("session_id", "line_no", F.concat(F.col("line_no").cast("string"), line).alias("line"))
+
+
+def review_outcomes(sessions: DataFrame, found: DataFrame) -> DataFrame:
+    """(session_id, outcome) of sessions(session_id, calls, writes) with a model's findings found(session_id, task, outcome, steps): too_short
+    and read_only sessions are skipped, findings that aren't valid rejected, sessions without any are empty."""
+    f = found.select("session_id", F.when((F.coalesce("task", F.lit("")) == "") | ~F.col("outcome").isin("success", "partial", "failure") | (F.coalesce("steps", F.lit(0)) < 1), "rejected").otherwise("extracted").alias("o")).groupBy("session_id").agg(F.min("o").alias("o"))
+    return sessions.join(f, "session_id", "left").select("session_id", F.when(F.col("calls") < 3, "too_short").when(F.col("writes") == 0, "read_only").otherwise(F.coalesce("o", F.lit("empty"))).alias("outcome"))
+
+
+def classifier_stats(labels: DataFrame, fallback: str) -> DataFrame:
+    """(hits, fallbacks, share) of labels(label, n): one row; the share of hits in whole percent, 0 without calls."""
+    a = labels.agg(F.coalesce(F.sum(F.when(F.col("label") != fallback, F.col("n"))), F.lit(0)).alias("hits"), F.coalesce(F.sum(F.when(F.col("label") == fallback, F.col("n"))), F.lit(0)).alias("fallbacks"))
+    total = F.col("hits") + F.col("fallbacks")
+    return a.select("hits", "fallbacks", F.when(total == 0, 0).otherwise(F.floor(100 * F.col("hits") / F.greatest(total, F.lit(1)) + 0.5)).cast("long").alias("share"))
+
+
+def frequent_fallbacks(calls_: DataFrame, least: int = 2, most: int = 20) -> DataFrame:
+    """(label, input, n): the inputs that fell back most often, at least `least` times."""
+    return calls_.groupBy("label", "input").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "label", "input").limit(most)

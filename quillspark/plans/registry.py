@@ -24,7 +24,7 @@ def register(sql: str | None = None):
 
 
 def _load() -> None:
-    for m in ("journal_queries", "search_queries", "graph_queries", "table_queries", "document_queries", "ingest_queries", "fold_queries"):
+    for m in ("journal_queries", "search_queries", "graph_queries", "table_queries", "document_queries", "ingest_queries", "fold_queries", "report_queries"):
         import_module(f"quillspark.plans.{m}")
 
 
