@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def trim_all(c: Column) -> Column:
@@ -92,40 +92,68 @@ def detect_format(c: Column) -> Column:
     )
 
 
-#: Names, patterns and order of the redaction catalogue. B stands for an ASCII word boundary before, E for one behind.
-_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: Names, patterns, replacements and order of the redaction catalogue, with word boundaries between ASCII signs.
 PII_CATALOGUE = (
-    ("anthropic_token", rf"{_B}sk-ant-[a-zA-Z0-9_-]{{20,}}(?<=[A-Za-z0-9_]){_E}"),
-    ("openai_token", rf"{_B}sk-(?!ant-)[a-zA-Z0-9_-]{{20,}}(?<=[A-Za-z0-9_]){_E}"),
-    ("github_token", rf"{_B}gh[pousr]_[A-Za-z0-9]{{30,}}{_E}"),
-    ("slack_token", rf"{_B}xox[bpars]-[A-Za-z0-9-]{{10,}}(?<=[A-Za-z0-9_]){_E}"),
-    ("aws_access_key", rf"{_B}AKIA[0-9A-Z]{{16}}{_E}"),
-    ("gcp_api_key", rf"{_B}AIza[0-9A-Za-z_-]{{35}}(?<=[A-Za-z0-9_]){_E}"),
-    ("jwt", rf"{_B}eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?<=[A-Za-z0-9_]){_E}"),
-    ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_E}"),
-    ("credit_card", rf"{_B}(?:\d[ -]?){{12,18}}\d{_E}"),
-    ("phone_e164", rf"\+[1-9]\d{{7,14}}{_E}"),
-    ("phone_us", rf"(?:{_B}\d{{3}}[-.\s]|(?<![\d-])\(\d{{3}}\)\s?)\d{{3}}[-.\s]\d{{4}}{_E}"),
-    ("private_ipv4", rf"{_B}(?:10(?:\.\d{{1,3}}){{3}}|192\.168(?:\.\d{{1,3}}){{2}}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{{1,3}}){{2}}){_E}"),
-    ("macos_user_path", r"/Users/[^/\s'\"]+"),
-    ("linux_user_path", r"/home/[^/\s'\"]+"),
+    ("anthropic_token", r"\bsk-ant-[a-zA-Z0-9_-]{20,}\b", "<REDACTED:anthropic_token>"),
+    ("openai_token", r"\bsk-(?!ant-)[a-zA-Z0-9_-]{20,}\b", "<REDACTED:openai_token>"),
+    ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{30,}\b", "<REDACTED:github_token>"),
+    ("slack_token", r"\bxox[bpars]-[A-Za-z0-9-]{10,}\b", "<REDACTED:slack_token>"),
+    ("aws_access_key", r"\bAKIA[0-9A-Z]{16}\b", "<REDACTED:aws_access_key>"),
+    ("gcp_api_key", r"\bAIza[0-9A-Za-z_-]{35}\b", "<REDACTED:gcp_api_key>"),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "<REDACTED:jwt>"),
+    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "<REDACTED:email>"),
+    ("credit_card", r"\b(?:\d[ -]?){12,18}\d\b", "<REDACTED:credit_card>"),
+    ("phone_e164", r"\+[1-9]\d{7,14}\b", "<REDACTED:phone>"),
+    ("phone_us", r"(?:\b\d{3}[-.\s]|(?<![\d-])\(\d{3}\)\s?)\d{3}[-.\s]\d{4}\b", "<REDACTED:phone>"),
+    ("private_ipv4", r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})\b", "<REDACTED:private_ip>"),
+    ("macos_user_path", r"/Users/[^/\s'\"]+", "/Users/<USER>"),
+    ("linux_user_path", r"/home/[^/\s'\"]+", "/home/<USER>"),
 )
 
 
+def ascii_boundaries(rx: str) -> str:
+    """Java's word boundary also looks at letters beyond ASCII; the catalogue's doesn't."""
+    w = "[A-Za-z0-9_]"
+    return rx.replace(r"\b", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))")
+
+
 def luhn_valid(digits: Column) -> Column:
     """13 to 19 digits with a correct check digit."""
     return F.length(digits).between(13, 19) & digits.rlike("^[0-9]+$") & F.call_function("luhn_check", digits)
 
 
+def _step(c: Column, name: str, rx: str, put: str) -> tuple[Column, Column]:
+    """(text, number of replacements) after one pattern; of card numbers only those that pass the check, each at its own place."""
+    rx = ascii_boundaries(rx)
+    if name != "credit_card":
+        return F.regexp_replace(c, rx, put), F.regexp_count(c, F.lit(rx))
+    found = F.regexp_extract_all(c, F.lit(rx), F.lit(0))
+    valid = lambda m: luhn_valid(F.regexp_replace(m, "[^0-9]", ""))
+    kept = F.transform(found, lambda m: F.when(valid(m), put).otherwise(m))
+    text = F.array_join(F.transform(F.arrays_zip(F.split(c, rx, -1).alias("a"), kept.alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit("")))), "")
+    return F.when(F.size(found) > 0, text).otherwise(c), F.size(F.filter(found, valid))
+
+
 def scrub(c: Column, allow: tuple[str, ...] = ()) -> Column:
-    """The text with every match of the catalogue, in order, replaced by <REDACTED:name>; card numbers only if they pass the check."""
-    out = c
-    for name, rx in PII_CATALOGUE:
-        if name in allow:
-            continue
-        if name == "credit_card":
-            found = F.filter(F.regexp_extract_all(out, F.lit(rx), F.lit(0)), lambda m: luhn_valid(F.regexp_replace(m, "[^0-9]", "")))
-            out = F.aggregate(found, out, lambda t, m: F.replace(t, m, F.lit(f"<REDACTED:{name}>")))
-        else:
-            out = F.regexp_replace(out, rx, f"<REDACTED:{name}>")
-    return out
+    """The text with every match of the catalogue, in order, each pattern on what the one before left, replaced."""
+    for name, rx, put in PII_CATALOGUE:
+        if name not in allow:
+            c, _ = _step(c, name, rx, put)
+    return c
+
+
+def scrubbed(df: DataFrame, column: str, allow: tuple[str, ...] = ()) -> DataFrame:
+    """df with `column` scrubbed and a map `redactions` of how often each pattern was found, for those found. Each pattern is a projection
+    of its own, so the text of one step is computed once."""
+    names = [x for x in PII_CATALOGUE if x[0] not in allow]
+    for name, rx, put in names:
+        text, n = _step(F.col(f"`{column}`"), name, rx, put)
+        df = df.withColumn(f"_n_{name}", F.coalesce(n, F.lit(0))).withColumn(column, text)
+    counts = F.create_map(*[x for name, _, _ in names for x in (F.lit(name), F.col(f"_n_{name}").cast("long"))])
+    return df.withColumn("redactions", F.map_filter(counts, lambda k, v: v > 0)).drop(*[f"_n_{name}" for name, _, _ in names])
+
+
+def strict(df: DataFrame, column: str, allow: tuple[str, ...] = ()) -> DataFrame:
+    """df with `reason`, null where nothing of the catalogue is found in `column`, else the patterns found."""
+    s = scrubbed(df.withColumn("_text", F.col(f"`{column}`")), "_text", allow)
+    return s.withColumn("reason", F.when(F.size("redactions") > 0, F.concat(F.lit("patterns detected: "), F.array_join(F.map_keys("redactions"), ", ")))).drop("_text", "redactions")

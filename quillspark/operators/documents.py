@@ -3,7 +3,6 @@ there is no shuffle. Defined cases: null or empty text gives no chunk and compre
 
 from __future__ import annotations
 
-import html as _html
 import re
 from collections.abc import Iterator
 from math import ceil
@@ -14,9 +13,9 @@ from pyspark.sql import DataFrame
 from quillspark.functions.estimate import DENSE_CHARS
 
 _DENSE = frozenset(DENSE_CHARS)
-_FENCED = re.compile(r"^```[^\n]*\n.*?^```[^\n]*$", re.M | re.S)
-_FRONT = re.compile(r"\A---\n(.*?)\n---(?:\n|\Z)", re.S)
-_HEAD = re.compile(r"^(#{1,6})[ \t]+(.+)$")
+_FENCED = re.compile(r"^(`{3,})[^\n]*\n.*?\n\1$", re.M | re.S)
+_FRONT = re.compile(r"\A---\n(.*?)\n---\n?", re.S)
+_HEAD = re.compile(r"^(#{1,6})\s+(.+)$")
 _SENTENCES = re.compile(r"[^.!?]+[.!?]+\s*")
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s")
 #: Chunk types that are never merged with a neighbour.
@@ -63,42 +62,42 @@ def block_type(block: str) -> str:
     return "paragraph"
 
 
+def _blocks(text: str) -> list[tuple[str, str]]:
+    """(kind, text) in order: fenced code, headings, and blocks between empty lines. A line of blanks alone doesn't end a block."""
+    out: list[tuple[str, str]] = []
+    at = 0
+    spans = [m.span() for m in _FENCED.finditer(text)]
+    for a, e in [*spans, (len(text), len(text))]:
+        part, lines = text[at:a], []
+        for line in [*part.split("\n"), None]:
+            head = line is not None and _HEAD.match(line)
+            if head or line is None:
+                out += [("block", b.strip()) for b in re.split(r"\n{2,}", "\n".join(lines)) if b.strip()]
+                lines = []
+                if head:
+                    out.append(("heading", line.strip()))
+            else:
+                lines.append(line)
+        if e > a:
+            out.append(("code", text[a:e]))
+        at = e
+    return out
+
+
 def chunk_markdown(text: str, least: int = 50, most: int = 1000) -> list[Chunk]:
     """Front matter, headings, fenced code as it is, and blocks by type under their heading; small blocks are joined, huge ones split."""
     raw: list[Chunk] = []
     m = _FRONT.match(text)
     if m:
-        raw.append((m[1].strip(), "frontmatter", None))
+        raw.append((m[0].strip(), "frontmatter", None))
         text = text[m.end() :]
     heading: str | None = None
-    fences = [f.span() for f in _FENCED.finditer(text)]
-    pieces, at = [], 0
-    for a, e in fences:
-        pieces += [(text[at:a], False), (text[a:e], True)]
-        at = e
-    for part, code in [*pieces, (text[at:], False)]:
-        if code:
-            raw.append((part, "code", heading))
-            continue
-        block: list[str] = []
-
-        def flush() -> None:
-            b = "\n".join(block).strip()
-            if b:
-                raw.append((b, block_type(b), heading))
-            block.clear()
-
-        for line in part.split("\n"):
-            h = _HEAD.match(line)
-            if h:
-                flush()
-                heading = h[2].strip()
-                raw.append((line.strip(), "heading", heading))
-            elif line.strip():
-                block.append(line)
-            else:
-                flush()
-        flush()
+    for kind, b in _blocks(text):
+        if kind == "heading":
+            heading = _HEAD.match(b)[2].strip()
+            raw.append((b, "heading", heading))
+        else:
+            raw.append((b, "code" if kind == "code" else block_type(b), heading))
     joined: list[list] = []
     open_ = False
     for c, t, h in raw:
@@ -112,18 +111,42 @@ def chunk_markdown(text: str, least: int = 50, most: int = 1000) -> list[Chunk]:
         else:
             joined.append([c, t, h])
             open_ = True
-    return [(piece, t, h) for c, t, h in joined for piece in ([c] if t in ATOMIC or tokens(c) <= most else split_sentences(c, most))]
+    return [(piece, t, h) for c, t, h in joined for piece in ([c] if t == "code" or tokens(c) <= most else split_sentences(c, most))]
+
+
+def _bare(t: str) -> str:
+    return re.sub(r"<[^>]+>", "", t)
+
+
+def _plain_entities(t: str) -> str:
+    for a, b in ENTITIES:
+        t = t.replace(a, b)
+    return t
+
+
+#: Entities that are decoded, in order.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
 
 def html_to_markdown(text: str) -> str:
-    t = re.sub(r"(?is)<(script|style|nav|footer|header|noscript)\b.*?</\1\s*>|<!--.*?-->", "", text)
-    t = re.sub(r"(?is)<pre[^>]*>(.*?)</pre>", lambda m: "\n\n```\n" + re.sub(r"<[^>]+>", "", m[1]).strip("\n") + "\n```\n\n", t)
-    t = re.sub(r"(?i)<h([1-6])[^>]*>(.*?)</h\1>", lambda m: f"\n\n{'#' * int(m[1])} {m[2].strip()}\n\n", t)
-    t = re.sub(r"(?i)<a\s[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", r"[\2](\1)", t)
-    t = re.sub(r"(?is)<li[^>]*>(.*?)</li>", lambda m: f"- {m[1].strip()}\n", t)
-    t = re.sub(r"(?is)<blockquote[^>]*>(.*?)</blockquote>", lambda m: "\n\n> " + m[1].strip() + "\n\n", t)
-    t = re.sub(r"(?i)<br\s*/?>", "\n", re.sub(r"(?i)</?(?:p|div|section|article|table|tr|ul|ol)\b[^>]*>", "\n\n", t))
-    return re.sub(r"\n{3,}", "\n\n", _html.unescape(re.sub(r"<[^>]+>", "", t))).strip()
+    """Headings, code, emphasis, links, items, quotations and paragraphs as markdown; other tags leave their text. Tags without a line end
+    between them are inline."""
+    fence = lambda body: f"\n```\n{body.strip()}\n```\n"
+    rules = [(rf"(?i)<h{n}[^>]*>(.*?)</h{n}>", lambda m, n=n: f"\n{'#' * n} {_bare(m[1]).strip()}\n") for n in range(6, 0, -1)]
+    rules += [
+        (r"(?is)<pre[^>]*><code[^>]*>(.*?)</code></pre>", lambda m: fence(_plain_entities(m[1]))),
+        (r"(?is)<pre[^>]*>(.*?)</pre>", lambda m: fence(_plain_entities(_bare(m[1])))),
+        (r"(?i)<code[^>]*>(.*?)</code>", lambda m: f"`{_bare(m[1])}`"),
+        (r"(?i)<(strong|b)[^>]*>(.*?)</\1>", lambda m: f"**{_bare(m[2])}**"),
+        (r"(?i)<(em|i)[^>]*>(.*?)</\1>", lambda m: f"*{_bare(m[2])}*"),
+        (r'(?i)<a[^>]+href="([^"]*)"[^>]*>(.*?)</a>', lambda m: f"[{_bare(m[2])}]({m[1]})"),
+        (r"(?is)<li[^>]*>(.*?)</li>", lambda m: f"- {_bare(m[1]).strip()}\n"),
+        (r"(?is)<blockquote[^>]*>(.*?)</blockquote>", lambda m: "\n".join(f"> {line}" for line in _bare(m[1]).strip().split("\n")) + "\n"),
+        (r"(?i)<br\s*/?>", lambda m: "\n"), (r"(?i)</p>", lambda m: "\n\n"), (r"(?i)<p[^>]*>", lambda m: ""),
+    ]
+    for rx, put in rules:
+        text = re.sub(rx, put, text)
+    return re.sub(r"\n{3,}", "\n\n", _plain_entities(_bare(text))).strip()
 
 
 def chunk(text: str, form: str, least: int = 50, most: int = 1000) -> list[Chunk]:
@@ -209,15 +232,19 @@ def extract(text: str, share: float = 0.6) -> str:
     return " ".join(parts[i] for i in sorted(best))
 
 
-def compress(text: str) -> tuple[str, int, int]:
-    """(compressed, tokens before, tokens after)"""
-    short = extract(drop_repeats(shorten_lists(text)), 0.5)
-    return short, tokens(text), tokens(short)
+def compress(text: str) -> tuple[str, int, int, int, int]:
+    """(compressed, tokens before, after shortened lists, after dropped repeats, after extraction)"""
+    short = shorten_lists(text)
+    once = drop_repeats(short)
+    out = extract(once, 0.5)
+    return out, tokens(text), tokens(short), tokens(once), tokens(out)
 
 
 def compress_documents(docs: DataFrame) -> DataFrame:
+    """(id, content, before, lists, repeats, after) of docs(id, content): the compressed text and its tokens before and after every stage."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, *compress(x or "")) for i, x in zip(b["id"], b["content"])], columns=["id", "content", "before", "after"])
+            yield pd.DataFrame([(i, *compress(x or "")) for i, x in zip(b["id"], b["content"])], columns=["id", "content", "before", "lists", "repeats", "after"])
 
-    return docs.select("id", "content").mapInPandas(run, "id string, content string, before long, after long")
+    return docs.select("id", "content").mapInPandas(run, "id string, content string, before long, lists long, repeats long, after long")

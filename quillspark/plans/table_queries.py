@@ -88,22 +88,50 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sources").select("id", T.snippet(F.col("content"), F.col("title")).alias("snippet"))
 
 
-_PII_SQL = {
-    "email": r"(?:[A-Za-z0-9_][A-Za-z0-9._%+-]*)@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "slack_token": r"\bxox[bpars]-[A-Za-z0-9-]{10,}\b", "github_token": r"\bgh[pousr]_[A-Za-z0-9]{30,}\b",
-    "aws_access_key": r"\bAKIA[0-9A-Z]{16}\b", "gcp_api_key": r"\bAIza[0-9A-Za-z_-]{35}\b", "phone_e164": r"\+[1-9]\d{7,14}\b",
-}
-
-
-@register("SELECT id, " + ", ".join(f"len(regexp_extract_all(content, '{rx}')) AS {n}" for n, rx in _PII_SQL.items() if n not in ("email",)) + " FROM sources")
+def _scrub_sql() -> str:
+    """One CTE a pattern; look-behind and look-ahead are spelled without them, cards are checked one by one."""
+    parts = ["s0 AS (SELECT id, content AS t FROM sources)"]
+    digit = "CAST(substr(@G, CAST(length(@G) - i + 1 AS BIGINT), 1) AS INT)"
+    luhn = f"list_sum(list_transform(range(1, length(@G) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} ELSE ({digit} * 2) // 10 + ({digit} * 2) % 10 END)) % 10 = 0"
+    n = 0
+    for name, rx, put in T.PII_CATALOGUE:
+        n += 1
+        q = rx.replace("'", "''")
+        if name == "credit_card":
+            put_all = "array_to_string(list_transform(list_zip(string_split_regex(t, '{0}'), regexp_extract_all(t, '{0}')), lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' WHEN ({1}) THEN '{2}' ELSE x[2] END), '')"
+            g = "regexp_replace(x[2], '[^0-9]', '', 'g')"
+            body = put_all.format(q, f"length({g}) BETWEEN 13 AND 19 AND " + luhn.replace("@G", g), put)
+            body = f"CASE WHEN regexp_matches(t, '{q}') THEN {body} ELSE t END"
+        elif name == "openai_token":
+            body = f"regexp_replace(replace(t, 'sk-ant-', chr(1)), '\\bsk-[a-zA-Z0-9_-]{{20,}}\\b', '{put}', 'g')"
+            body = f"replace({body}, chr(1), 'sk-ant-')"
+        elif name == "phone_us":
+            body = rf"regexp_replace(regexp_replace(t, '\b\d{{3}}[-.\s]\d{{3}}[-.\s]\d{{4}}\b', '{put}', 'g'), '(^|[^\d-])\(\d{{3}}\)\s?\d{{3}}[-.\s]\d{{4}}\b', '\1{put}', 'g')"
+        else:
+            body = f"regexp_replace(t, '{q}', '{put}', 'g')"
+        parts.append(f"s{n} AS (SELECT id, {body} AS t FROM s{n - 1})")
+    return "WITH " + ", ".join(parts) + f" SELECT id, t AS content FROM s{n}"
+
+
+_COUNTED = [(n, rx) for n, rx, _ in T.PII_CATALOGUE if n not in ("openai_token", "credit_card", "phone_us")]
+
+
+@register("SELECT id, " + ", ".join(f"len(regexp_extract_all(content, '{rx.replace(chr(39), chr(39) * 2)}')) AS {n}" for n, rx in _COUNTED) + " FROM sources")
 def catalogue_counts(spark: SparkSession, d: str) -> DataFrame:
-    rx = dict(T.PII_CATALOGUE)
-    return table(spark, d, "sources").select("id", *[F.regexp_count("content", F.lit(rx[n])).cast("long").alias(n) for n in _PII_SQL if n != "email"])
+    """Matches of every pattern of the catalogue in the texts as they are."""
+    return table(spark, d, "sources").select("id", *[F.regexp_count("content", F.lit(T.ascii_boundaries(rx))).cast("long").alias(n) for n, rx in _COUNTED])
 
 
-@register()
+@register(_scrub_sql())
 def scrubbed(spark: SparkSession, d: str) -> DataFrame:
-    """Every source through the redaction catalogue; look-behind has no counterpart in the SQL dialect, so it is tested on fixtures."""
-    return table(spark, d, "sources").select("id", T.scrub(F.col("content")).alias("content"))
+    """Every source through the redaction catalogue."""
+    return T.scrubbed(table(spark, d, "sources").select("id", "content"), "content").drop("redactions")
+
+
+@register("WITH s AS (" + _scrub_sql() + ") SELECT s.id, s.content = o.content AS clean FROM s JOIN sources o USING (id)")
+def strict_rejections(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that strict mode accepts."""
+    return T.strict(table(spark, d, "sources").select("id", "content"), "content").select("id", F.col("reason").isNull().alias("clean"))
 
 
 @register(f"WITH {_LOG} SELECT lower(tool_name) AS tool, count(*) AS n FROM log GROUP BY 1")
@@ -355,7 +383,7 @@ def git_remotes(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"""WITH {_LOG} SELECT strftime(time_bucket(INTERVAL 1 HOUR, timestamp), '%Y-%m-%d %H:%M:%S') AS start, lower(tool_name) AS tool, count(*) AS calls, CAST(sum(skill_hit) AS BIGINT) AS hits, CAST(coalesce(sum(tokens_spent), 0) AS BIGINT) AS tokens FROM query_log GROUP BY 1, 2""".replace(f"WITH {_LOG} ", ""))
 def stream_call_windows(spark: SparkSession, d: str) -> DataFrame:
-    """The whole log through the windowed stream; the last state of every window."""
+    """The whole log through the windowed stream, late calls too; the last state of every window."""
     import uuid
 
     from quillspark.session import shared_folder
@@ -363,7 +391,7 @@ def stream_call_windows(spark: SparkSession, d: str) -> DataFrame:
     from quillspark.streaming import jobs
 
     base = f"{shared_folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
-    jobs.write_batches(jobs.call_windows(stream_parquet(spark, f"{d}/query_log.parquet")), f"{base}/out", f"{base}/checkpoint", mode="update").awaitTermination()
+    jobs.write_batches(jobs.call_windows(stream_parquet(spark, f"{d}/query_log.parquet"), late=None), f"{base}/out", f"{base}/checkpoint", mode="update").awaitTermination()
     rows = spark.read.parquet(f"{base}/out").withColumn("k", F.row_number().over(W.partitionBy("start", "tool").orderBy(F.desc("batch"))))
     return rows.where("k = 1").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "tool", "calls", "hits", F.coalesce("tokens", F.lit(0)).alias("tokens"))
 

@@ -31,7 +31,7 @@ def test_scrub(spark):
     text = "a@b.example c@d.example card 4111-1111-1111-1111 id 4111-1111-1111-1112 sk-abcdefghijklmnopqrst12 10.1.2.3 /home/ann/x +14155550123"
     out = one(spark, T.scrub, text)
     assert out.count("<REDACTED:email>") == 2 and "card <REDACTED:credit_card>" in out and "4111-1111-1111-1112" in out
-    assert all(f"<REDACTED:{n}>" in out for n in ("openai_token", "private_ipv4", "linux_user_path", "phone_e164"))
+    assert all(x in out for x in ("<REDACTED:openai_token>", "<REDACTED:private_ip>", "/home/<USER>/x", "<REDACTED:phone>"))
 
 
 def test_snippet(spark):
@@ -220,5 +220,7 @@ def test_vectors(spark):
 def test_every_query_runs(spark, sf_dir):
     from quillspark.plans import registry
 
-    for name in ("tfidf_search", "queries_by_tool", "god_nodes", "edge_upsert", "p6_state"):
-        assert registry.queries()[name](spark, sf_dir).count() >= 0
+    for name, query in registry.queries().items():
+        df = query(spark, sf_dir)
+        assert len(set(df.columns)) == len(df.columns), name
+        df.write.format("noop").mode("overwrite").save()
