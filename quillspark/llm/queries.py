@@ -12,15 +12,12 @@ from quillspark.session import table
 
 def text_records(spark: SparkSession, d: str) -> DataFrame:
     """Sources and chunks as one relation (rec_table, rec_id, content)."""
-    # whole texts go to Python: small Arrow batches keep a worker's memory flat
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     s = table(spark, d, "sources").select(F.lit("sources").alias("rec_table"), F.col("id").alias("rec_id"), "content")
     c = table(spark, d, "chunks").select(F.lit("chunks").alias("rec_table"), F.col("id").alias("rec_id"), "content")
     return s.unionByName(c)
 
 
 def _keyed(spark: SparkSession, d: str, name: str, key: str, text: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return table(spark, d, name).select(F.lit(name).alias("rec_table"), F.col(key).alias("key"), F.col(text).alias("text"))
 
 
@@ -68,7 +65,6 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _whole_sources(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return table(spark, d, "sources")
 
 
@@ -93,7 +89,6 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _whole_documents(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return table(spark, d, "documents")
 
 
