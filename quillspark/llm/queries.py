@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quillspark.llm import boiler, leak, mojibake, neardup, pack, pii, secrets, split
-from quillspark.session import table
+from quillspark.session import table, write_shared
 
 
 def text_records(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +64,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(text_records(spark, d).where("rec_table = 'sources'")).drop("rec_table").withColumnRenamed("rec_id", "source_id")
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized source whether all pieces are within the limit, slices of it, and reach from its first word to its last."""
+    p = p3_pieces(spark, d).join(table(spark, d, "sources").select(F.col("id").alias("source_id"), F.col("content").alias("whole")), "source_id")
+    w = F.regexp_replace(F.col("whole"), r"^\s+|\s+$", "")
+    part = F.regexp_replace(F.col("content"), r"^\s+|\s+$", "")
+    first, last = F.min("position").over(W.partitionBy("source_id")), F.max("position").over(W.partitionBy("source_id"))
+    p = p.select("source_id", (F.col("token_count") <= 1000).alias("within"), F.contains(F.col("whole"), part).alias("slices"), ((F.col("position") != first) | F.startswith(w, part)).alias("starts"), ((F.col("position") != last) | F.endswith(w, part)).alias("ends"))
+    return p.groupBy("source_id").agg(*[F.min(c).alias(c) for c in ("within", "slices", "starts", "ends")])
+
+
 def _whole_sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sources")
 
@@ -76,6 +86,11 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact_secrets(_whole_sources(spark, d))
 
 
+def p4_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of every redacted source, as many as it had."""
+    return p4_redacted(spark, d).where("content is not null").select("source_id", F.size(F.split("content", "\n")).cast("long").alias("lines"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return boiler.boilerplate_lines(_whole_sources(spark, d).where("source_type = 'url'"))
 
@@ -88,6 +103,18 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack_documents(_whole_documents(spark, d))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents, those placed whole and once, containers above the capacity, and copies that share a container."""
+    docs = table(spark, d, "documents").where("text is not null")
+    c = write_shared(p7_containers(spark, d), "p7-checked")
+    pieces = c.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("piece").alias("k"), F.max("piece").alias("m"))
+    placed = pieces.where("n = k and n = m + 1").agg(F.count("*").alias("placed"))
+    over = c.groupBy("container").agg(F.sum("n_tokens").alias("t")).where(F.col("t") > pack.CAPACITY).agg(F.count("*").cast("int").alias("over"))
+    key = F.sha2(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " "), 256)
+    same = c.join(docs.select("doc_id", key.alias("key")), "doc_id").groupBy("container", "key", "piece").agg(F.countDistinct("doc_id").alias("n")).where("n > 1")
+    return docs.agg(F.count("*").alias("documents")).crossJoin(placed).crossJoin(over).crossJoin(same.agg(F.count("*").cast("int").alias("clashes")))  # one row each
+
+
 def _whole_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -101,6 +128,11 @@ def p8_near(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(_whole_documents(spark, d), table(spark, d, "eval_items"), edits=1)
 
 
+def p8_covered(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p8_near that hold without any edit: all of p8_found."""
+    return p8_near(spark, d).join(p8_found(spark, d), ["doc_id", "item_id"], "left_semi")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair_documents(_whole_documents(spark, d)).select("doc_id")
 
@@ -110,7 +142,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}  # in order of definition
 
 
 def oracle_sql() -> dict[str, str]:

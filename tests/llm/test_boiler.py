@@ -37,7 +37,35 @@ def test_forms():
     assert boiler.strip_tags('<li><a href="/x">Docs &amp; more</a></li>') == ("Docs & more", "li", True)
     assert boiler.strip_tags('<div class="c-5f0b">x</div>')[1] == "div.c-*"
     rows = boiler.score("A page\r\n```\ncode\n```\n> said so\n[10:20] Ann: hello", "A page", None)
-    assert [r[1] for r in rows] == [0, 0, 0, 0, 2, 2]
+    assert [r[1] for r in rows] == [boiler.TITLE, boiler.CODE, boiler.CODE, boiler.CODE, boiler.QUOTE, boiler.SAID]
+    lines = boiler.score('<nav class="top-3">\n<ul>\n<li><a href="/a">Docs</a></li><li>\nMore\n</li>\n</ul>\n</nav>\n<p>Some text, and <b>bold</b>\nnext line\n<p>another', "t", None)
+    assert [(r[0], r[2]) for r in lines] == [(1, "nav.top-*"), (2, "nav.top-*>ul"), (3, "nav.top-*>ul>li"), (4, "nav.top-*>ul>li"), (5, "nav.top-*>ul>li"), (6, "nav.top-*>ul"), (7, "nav.top-*"), (8, "p"), (9, "p"), (10, "p")]
+
+
+def test_word_keys():
+    words = "a b c a".split()
+    key, parts = boiler.word_keys(words)
+    for i in range(4):
+        other = [*words[:i], "x", *words[i + 1 :]]
+        assert boiler.word_keys(other)[0] == (key + (boiler._hash("x") - boiler._hash(words[i])) * parts[i]) % (1 << 64)
+    assert boiler.word_keys("c b a a".split())[0] != key
+
+
+def test_hosts_with_few_pages_follow_the_others(spark):
+    """A label in a paragraph is boilerplate on most hosts; a host with one page follows them, one with many pages decides for itself."""
+    def pages(host, n, inside):
+        for i in range(n):
+            title = f"On {host} and {i}"
+            word = "".join("abcdefghij"[int(c)] for c in f"{i:03d}") + "xyz"[len(host) % 3] + "".join("klmnopqrst"[int(c)] for c in host if c.isdigit())
+            body = f"Sentence {word} says something that no other page {word} says, and it goes on until it is more than long enough to be sure of it, as here."
+            lines = [title, body, "Label here", body + " Again."] if inside else ["Label here", title, body, body + " Again."]
+            yield (f"{host}{i}", f"https://{host}.test/{i}", title, "\n".join(lines))
+    rows = [r for k in range(30) for r in pages(f"h{k}", 3, False)] + list(pages("own", 120, True)) + list(pages("few", 1, True))
+    df = spark.createDataFrame(rows, "id string, url string, title string, content string")
+    got = {}
+    for r in boiler.boilerplate_lines(df).collect():
+        got.setdefault(r.source_id, set()).add(r.line_no)
+    assert got["h00"] == {1} and "own5" not in got
 
 
 def test_containers_are_voted_on(spark):
