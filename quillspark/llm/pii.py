@@ -1,10 +1,15 @@
 """Personal values in free text: found, and replaced by typed placeholders or by keyed surrogates.
 
 Detection runs on whole texts in Arrow batches, with no shuffle: cheap scans (an at sign, a set of capitalised words, digits) decide
-where the exact patterns are tried. Surrogates are generated once per distinct value: a keyed digest picks a replacement of the same
-kind, gender, script and format; the table of distinct values is checked for collisions in Spark (two values of a kind with the same
-surrogate) and colliding values draw again with the next counter until all are distinct, so equal values stay equal and different
-values stay different across the corpus.
+where the exact patterns are tried. Names are found by a list of given names, and without it by what stands around two capitalised
+words of one script: a form of address, a role, an e-mail address that repeats them, a verb of saying or meeting, another name beside
+them, the endings of Slavic family names; a name found once is found wherever the text repeats it.
+
+Surrogates are generated once per distinct value: a keyed digest picks a replacement of the same kind, gender, script and format; the
+table of distinct values is checked for collisions in Spark (two values of a kind with the same surrogate, or a surrogate that is
+itself a value of the corpus) and such values draw again until all are distinct, so equal values stay equal and different values stay
+different across the corpus. One family name has one surrogate and an initial follows the given names of its letter, so 'J. Smith' and
+'John Smith' stay alike.
 
 Defined cases: null content gives no finding and stays null; empty content stays empty; a repeated row gives its findings once;
 overlapping findings are settled in the order e-mail, address, id number, phone, name. Offsets count code points from 0.
@@ -18,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillspark.session import write_shared
 
@@ -56,6 +61,68 @@ _BEFORE = re.compile(rf"(?<![\w@.\-])({_FAM1}|{_FAMU}),\s\Z")
 _INITIAL = re.compile(rf"(?<![\w.@])([{_UP}]\.) ?(?:[{_UP}]\. ?)?({_FAM1}|{_FAMU})(?![\w@])")
 _INITIAL_LAST = re.compile(rf"(?<![\w@.\-])({_FAM1}), ([{_UP}]\.)(?=[\s,;:)|<(])")
 
+# names without a list: capitalised words of Latin, Cyrillic or Greek script, by what stands around them
+_CAPITAL = (rf"[{_UP}][{_LOW}'’]+(?:-[{_UP}][{_LOW}]+)?", "[А-ЯЁІЇЄҐ][а-яёіїєґ]+(?:-[А-ЯЁІЇЄҐ][а-яёіїєґ]+)?", "[Α-ΩΆΈΉΊΌΎΏ][α-ωάέήίόύώϊϋΐΰς]+")
+_FULL = "|".join(rf"{w} (?:{x}\. )?(?:{_PARTICLE}){{0,2}}{w}" for w, x in zip(_CAPITAL, (f"[{_UP}]", "[А-Я]", "[Α-Ω]")))
+_FULL += rf"|[{_UP}]{{2,}} (?:[{_UP}]\. )?{_FAMU}"
+#: Forms of address and roles that a name follows, and verbs that follow a name, of several languages.
+ADDRESSES = "Mr Mrs Ms Mx Miss Dr Prof Sir Dame Herr Herrn Frau M Mme Mlle Monsieur Madame Señor Señora Sr Sra Sig Signor Signora Pan Pani г-н г-жа господин госпожа κ κυρία κύριος".split()
+ROLES = (
+    "met|met with|said|by|author|contact|owner is|owner|dear|hi|hello|attn|cc|assigned to|reviewed by|thanks to|written by|reported by|signed|named|colleague|manager|engineer|nurse|teacher|director|patient|customer|client|"
+    "employee|applicant|candidate|instructor|lists|write to|ask|call|an|bitte an|autor|kontakt|avisar a|contacto|contact :|auteur|par|escrito por|von Herrn|von Frau|автор|контакт|встретил|встретила|συνάντησε"
+)
+VERBS = "met|said|says|wrote|writes|asked|told|lives|works|joined|agreed|replied|signed|reachable|can be called|was born|sagte|schrieb|wohnt|dijo|escribió|vive|dit|écrit|habite|сказал|сказала|написал|написала|встретил|встретила|живёт|είπε|έγραψε|συνάντησε"
+#: Words that make two capitalised words a place, a product, a time or a heading.
+NOT_PERSON = frozenset(
+    "Academy Agency Airport Association Avenue Bank Bay Bridge Building Bureau Center Centre Church City Club College Committee Company Conference Corporation Council Country County Court Day Department District East Engine Europe "
+    "Express Foundation Garden Gate Gateway Group Guide Hall Harbor Harbour Hill Hospital Hotel House Industries Institute International Island Lab Labs Lake Library Limited Market Ministry Monday Mountain Museum National New North "
+    "Office Park Platform Port Project Republic River Road School Sea Server Service Services Society South Square State States Station Store Street Studio Sunday Support System Systems Team Tower Town Union United University Valley View West World "
+    "January February March April May June July August September October November December Tuesday Wednesday Thursday Friday Saturday English Deutsch Français Español Italiano Polski Português "
+    "About Blog Careers Community Contact Docs Documentation Doku Download Downloads Guides Help Home Impressum Imprint Jobs Karriere Kontakt Login Menu News Preise Pricing Privacy Search Startseite Subscribe Support Terms Tutorials".split()
+)
+_PAIR = re.compile(rf"(?<![\w@.])(?=({_FULL})(?![\w@]))")
+_LEFT = re.compile(rf"(?:(?<!\w)(?:{'|'.join(map(re.escape, ADDRESSES))})\.? |(?<!\w)(?i:{ROLES})(?::|,)? (?:(?:Dr|Prof|Ms|Mr|Mrs)\.? )?)\Z")
+_RIGHT = re.compile(rf" (?:{VERBS})(?!\w)|,? (?:reachable at )?[(<|] ?[^\s@()<>|]+ ?(?:@|&#64;|[(\[{{<](?:at|AT)[)\]}}>]| AT )")
+_SIGNS = re.compile(r"(?:[—–]|\[\d\d:\d\d\]|^\|) \Z", re.M)
+_SLAVIC = re.compile(r"(?<![\w@.])([А-ЯЁ][а-яё]+ (?:[А-ЯЁ][а-яё]+(?:ович|евич|овна|евна|ична) )?[А-ЯЁ][а-яё]+(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко|чук|ук|юк))(?![\w@])")
+_JOINED = rf"(?:,? or|,? oder|,? ou| или|,| and| und| et| y| e| i| и| και|,? sowie) ({_FULL})(?![\w@])"
+_NEXT = re.compile(_JOINED)
+
+
+def _context_spans(text: str, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Names by context alone, and where the text repeats them."""
+    out = []
+    for m in _PAIR.finditer(text):
+        a, e = m.span(1)
+        left = text[max(0, a - 28) : a]
+        # more capitalised words in a row are a heading or a menu; in a text of capitals nothing stands out
+        alone = text[e : e + 1] != " " or not text[e + 1 : e + 2].isupper()
+        shouted = m[1].isupper() and left.rstrip()[-2:].isupper()
+        signed = _SIGNS.search(left) and (text[e : e + 1] in ("", ",", ".", ":", ";", "\n", "\r"))
+        if alone and not shouted and (signed or _LEFT.search(left)) or _RIGHT.match(text, e):
+            out.append((a, e))
+    if re.search("[А-Я]", text):
+        out += [m.span(1) for m in _SLAVIC.finditer(text)]
+    out = [(a, e) for a, e in out if _person(text[a:e])]
+    for a, e in [*out, *known]:  # a list of names
+        while (m := _NEXT.match(text, e)) and _person(m[1]):
+            a, e = m.span(1)
+            out.append((a, e))
+    for name in {text[a:e] for a, e in out}:
+        p = text.find(name)
+        while p >= 0:
+            e = p + len(name)
+            if not (p and (text[p - 1].isalnum() or text[p - 1] in "@_")) and not (text[e : e + 1].isalnum() or text[e : e + 1] == "@"):
+                out.append((p, e))
+            p = text.find(name, e)
+    return out
+
+
+def _person(name: str) -> bool:
+    words = re.split(r"[ \-]", name)
+    return not any(w in NOT_PERSON or w in NOT_FAMILY or w.isupper() and (w.title() in NOT_PERSON or w.title() in NOT_FAMILY) for w in words) and all(len(w) > 1 for w in (words[0], words[-1]))
+
+
 _LOCAL = r"[A-Za-z0-9À-ÿ][A-Za-z0-9À-ÿ._%+\-]*"
 _HOST = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _EMAIL = re.compile(rf"(?<![\w.+\-])({_LOCAL})(?:@|&#64;|%40|＠)({_HOST}(?:\.{_HOST})+)")
@@ -172,7 +239,7 @@ def _name_spans(text: str, emails: list[tuple[int, int]]) -> list[tuple[int, int
             m = re.search(rf"(?<![\w@.])([{_UP}][{_LOW}]+(?: [{_UP}]\.)? ({_FAM1})|({_FAM1}), [{_UP}][{_LOW}]+)[ ,|<(]{{1,4}}(?:reachable at )?\Z", left)
             if m and (m[2] or m[3]).split(" ")[-1].split("-")[0].lower() in local:
                 out.append((a - len(left) + m.start(1), a - len(left) + m.end(1)))
-    return out
+    return out + _context_spans(text, out)
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -211,39 +278,139 @@ def _bytes(key: bytes, kind: str, value: str, attempt: int) -> bytes:
     return hmac.new(key, f"{kind}\0{value}\0{attempt}".encode("utf-8", "surrogatepass"), hashlib.sha512).digest()
 
 
+#: Syllables and endings of made-up words by script; Cyrillic family names have two forms.
+SYLLABLES = {
+    "latin": "bar del fos gar hol kel lan mar nor pel ros sel tal ver wel zan".split(),
+    "cyrillic": "бар дел гор кол лан мар нор пел рос сел тал вер зан лев мир рам".split(),
+    "greek": "βαρ δελ γορ κολ λαν μαρ νορ πελ ροσ σελ ταλ βερ ζαν λεβ μιρ ραμ".split(),
+}
+ENDINGS = {"latin": "field mann ova ez son ini ier ak".split(), "cyrillic": "ов ев ин енко ский ук цев лин".split(), "greek": "ίδης όπουλος άκης ίου άς ής ούλης έας".split()}
+#: Given names of the other scripts by gender.
+GIVEN_OTHER = {
+    ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Зоя Ирина Лариса Мария Нина Ольга Полина Раиса Софья Тамара".split(), ("cyrillic", "m"): "Антон Виктор Глеб Денис Егор Захар Игорь Леонид Максим Николай Олег Павел Роман Семён Тимур".split(),
+    ("greek", "f"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Νίκη Όλγα Σοφία".split(), ("greek", "m"): "Αντώνης Βασίλης Γιώργος Δημήτρης Ευάγγελος Ζήσης Ιωάννης Κώστας Μιχάλης Νίκος Όθωνας Σπύρος".split(),
+}
+
+
+def script_of(text: str) -> str:
+    return "cyrillic" if re.search("[а-яё]", text.lower()) else "greek" if re.search("[α-ωά-ώ]", text.lower()) else "latin"
+
+
+def gender_of(given: str, family: str) -> str:
+    """By the list, else by the endings that the languages use, else either."""
+    g = GENDER.get(given.title())
+    if g:
+        return g
+    if re.search(r"(?:ова|ева|ёва|ина|ына|ская|цкая|ová|ska)\Z", family) or re.search(r"[aаяαηή]\Z", given):
+        return "f"
+    return "m" if re.search(r"(?:ов|ев|ин|ский|цкий|ski)\Z", family) or re.search(r"(?:[oеruns]|ς)\Z", given) else "e"
+
+
+def _word(d: bytes, script: str, more: int = 0) -> str:
+    s = SYLLABLES[script]
+    return "".join(s[b % 16] for b in d[: 3 + more])
+
+
+def _given(letter: str, script: str, g: str, key: bytes, pick: int) -> str:
+    """A given name of the gender whose letter follows the letter of the original."""
+    pools = {"f": (GIVEN_F, GIVEN_OTHER.get((script, "f"))), "m": (GIVEN_M, GIVEN_OTHER.get((script, "m"))), "e": (GIVEN_E + GIVEN_F + GIVEN_M, (GIVEN_OTHER.get((script, "f")) or []) + (GIVEN_OTHER.get((script, "m")) or []))}
+    pool = pools[g][0 if script == "latin" else 1]
+    letters = sorted({n[0] for n in pools["f"][0 if script == "latin" else 1]} & {n[0] for n in pools["m"][0 if script == "latin" else 1]})
+    to = letters[int.from_bytes(_bytes(key, "letter", letter, 0)[:4]) % len(letters)]
+    pool = [n for n in pool if n[0] == to]
+    return pool[pick % len(pool)]
+
+
+def _iban_digits(country: str, account: str) -> str:
+    number = "".join(str(int(c, 36)) for c in account + country + "00")
+    return f"{98 - int(number) % 97:02d}"
+
+
+def _drawn(value: str, d: bytes, keep: int) -> str:
+    """Every digit and letter drawn again behind the first `keep` signs."""
+    return "".join(c if p < keep else str(d[p % 64] % 10) if c.isdigit() else chr(65 + d[p % 64] % 26) if c.isalpha() else c for p, c in enumerate(value))
+
+
+#: Letters that check eight digits.
+CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """A replacement for a normal form: same kind, and the same gender, script and format where the kind has them."""
+    """A replacement for a normal form: same kind, and the same gender, script, country, check signs and format where the kind has them.
+    Later attempts have longer words to draw from."""
     d = _bytes(key, kind, value, attempt)
     if kind == "name":
-        given = value.split(" ")[0]
-        g = GENDER.get(given.title(), "e" if given.endswith(".") else "e")
-        fam = "".join(("Bar", "Del", "Fos", "Gar", "Hol", "Kel", "Lan", "Mar", "Nor", "Pel", "Ros", "Sel", "Tal", "Ver", "Wel", "Zan")[b % 16].lower() for b in d[2:5])
-        fam = fam.capitalize() + ("field", "mann", "ova", "ez", "son", "ini", "ier", "ak")[d[5] % 8]
+        given, _, family = value.partition(" ")
+        script = script_of(value)
+        g = gender_of(given, family)
+        f = _bytes(key, "family", family, attempt)
+        fam = _word(f, script, min(attempt, 8)).capitalize() + ENDINGS[script][f[12] % 8]
+        if script == "cyrillic" and g == "f" and fam[-2:] in ("ов", "ев", "ин"):
+            fam += "а"
         if given.endswith("."):
-            return f"{'ABCDEFGHIJKLMNOPRSTUVWZ'[d[0] % 23]}. {fam}"
-        pool = {"f": GIVEN_F, "m": GIVEN_M, "e": GIVEN_E}[g]
-        return f"{pool[int.from_bytes(d[:2]) % len(pool)]} {fam}"
+            return f"{_given(given[0], script, 'f', key, 0)[0]}. {fam}"
+        return f"{_given(given[0], script, g, key, int.from_bytes(d[:2]))} {fam}"
     if kind == "email":
         host = value.rpartition("@")[2]
-        return f"user{int.from_bytes(d[:5]) % 10**10:010d}@{'mail.' if host.count('.') > 1 else ''}example.{host.rpartition('.')[2] or 'org'}"
+        return f"user{int.from_bytes(d[:8]) % 10 ** (10 + min(attempt, 6)):010d}@{'mail.' if host.count('.') > 1 else ''}example.{host.rpartition('.')[2] or 'org'}"
     if kind == "address":
-        return f"{1 + int.from_bytes(d[:2]) % 9999} {('Ash', 'Birch', 'Cedar', 'Elm', 'Fir', 'Hazel', 'Larch', 'Maple')[d[2] % 8]}{('field', 'ford', 'gate', 'ham', 'ley', 'mere', 'stead', 'wick')[d[3] % 8]} {('Street', 'Road', 'Lane', 'Close')[d[4] % 4]}, {int.from_bytes(d[5:8]) % 90000 + 10000}"
-    out, i = [], 0  # phones and numbers: every digit and letter drawn again, the country prefix and a closing check letter kept
-    keep = 3 if kind == "phone" and value.startswith("+") else 0
-    for p, c in enumerate(value):
-        b = d[i % 64] ^ (i // 64)
-        i += 1
-        out.append(c if p < keep or p == len(value) - 1 and c.isalpha() else str(b % 10) if c.isdigit() else chr(65 + b % 26) if c.isalpha() else c)
-    return "".join(out)
+        return _drawn_address(value, key, attempt)
+    if kind == "phone":
+        return _drawn(value, d, 3 if value.startswith("+") else 1 if value.startswith("0") else 0)
+    if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", value):  # an account number: country kept, check digits made
+        account = _drawn(value[4:], d, 0)
+        return value[:2] + _iban_digits(value[:2], account) + account
+    if re.fullmatch(r"[XYZ]?\d{7,8}[A-Z]", value):  # digits with a check letter
+        body = _drawn(value[:-1], d, 1 if value[0] in "XYZ" else 0)
+        return body + CHECK_LETTERS[int(body.replace("X", "0").replace("Y", "1").replace("Z", "2")) % 23]
+    out = _drawn(value, d, 0)
+    if re.fullmatch(r"[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]", value):  # with the letter of a month
+        out = out[:8] + "ABCDEHLMPRST"[d[60] % 12] + out[9:]
+    return out[:-1] + value[-1] if value[-1:].isalpha() else out
+
+
+#: Words of addresses that are no names.
+STREET_WORDS = frozenset(
+    "street st road rd lane ln close avenue ave drive dr court ct way hill terrace mews row crescent boulevard blvd place pl square sq gardens gate grove park parade walk yard wharf highway pkwy parkway apt suite ste unit flat floor in rue av "
+    "bd chemin impasse allée quai cours route passage sentier faubourg bis ter quater de la le les du des d l calle c avenida avda plaza paseo camino carrer ronda travesía glorieta rua travessa praça via viale piazza corso ulica ul aleja al los las del da do dos della "
+    "bajo ático am an der im zum zur alte neue große kleine straße strasse str gasse weg platz allee ufer damm ring steig graben markt chaussee pfad n s e w".split()
+)
+_STREET_TAIL = re.compile(r"(?:straße|strasse|str|gasse|weg|platz|allee|ufer|damm|ring|steig|graben|markt|chaussee|pfad)\Z")
+
+
+def _drawn_address(value: str, key: bytes, attempt: int) -> str:
+    """Numbers and names of an address drawn anew, its words for streets and its order kept."""
+
+    def put(m: re.Match) -> str:
+        w = m[0]
+        d = _bytes(key, "address", f"{value}/{m.start()}", attempt)
+        if any(c.isdigit() for c in w):
+            out = "".join(str(d[i] % 10) if c.isdigit() else chr(97 + d[i] % 26) if c.isalpha() else c for i, c in enumerate(w))
+            return str(1 + d[40] % 9) + out[1:] if out[0] == "0" else out
+        if w in STREET_WORDS or len(w) == 1:
+            return w
+        tail = _STREET_TAIL.search(w)
+        return _word(d, script_of(w), min(attempt, 8)) + (tail[0] if tail else "") if len(w) > 2 else "".join(chr(97 + d[i] % 26) for i in range(len(w)))
+
+    return re.sub(r"[^\W_]+", put, value)
 
 
 def dress(kind: str, original: str, replacement: str) -> str:
-    """Give the surrogate the spelling of this mention: order and case of a name, separators of a number."""
+    """Give the surrogate the spelling of this mention: order and case of a name or an address, separators of a number."""
     if kind == "name":
         if ", " in original:
             given, _, fam = replacement.partition(" ")
             replacement = f"{fam}, {given}"
         return replacement.upper() if original.isupper() else replacement
+    if kind == "address":
+        words = re.findall(r"[^\W_]+", original)
+        fresh = iter(words)
+
+        def cased(m: re.Match) -> str:
+            w = next(fresh, "")
+            return m[0].upper() if w.isupper() and len(w) > 1 or w.isupper() and not m[0].isdigit() else m[0].capitalize() if w[:1].isupper() else m[0]
+
+        return re.sub(r"[^\W_]+", cased, replacement)
     if kind == "email" and original.isupper():
         return replacement.upper()
     if kind in ("phone", "id_number"):
@@ -287,40 +454,39 @@ def redact_pii(records: DataFrame) -> DataFrame:
     return records.select("rec_table", "rec_id", "content").mapInPandas(run, "rec_table string, rec_id string, content string")
 
 
-def surrogate_table(records: DataFrame, key: bytes, rounds: int = 6) -> DataFrame:
-    """(kind, value, surrogate) for every distinct normal form, with distinct surrogates within a kind.
+def surrogate_table(records: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, surrogate) for every distinct normal form, with distinct surrogates within a kind, none of them a value of the corpus.
 
-    Each round draws for the values still open; those that collide with a settled value or lose to another open one draw again.
-    After `rounds` draws the rest get the counter as a suffix, which no draw produces."""
+    Each round draws for the values still open; those that collide with a settled value, with a value of the corpus or lose to another
+    open one draw again, from a larger space each time, until none is left."""
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = {(k, normal(k, x[a:e])) for x in b["content"] if x for a, e, k in find(x)}
             yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
 
-    def draw(attempt: int, suffix: bool):
+    def draw(attempt: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                s = [surrogate(k, v, key, attempt) + (f" #{_bytes(key, k, v, attempt).hex()[:24]}" if suffix else "") for k, v in zip(b["kind"], b["value"])]
-                yield pd.DataFrame({"kind": b["kind"], "value": b["value"], "surrogate": s})
+                s = [surrogate(k, v, key, attempt) for k, v in zip(b["kind"], b["value"])]
+                yield pd.DataFrame({"kind": b["kind"], "value": b["value"], "surrogate": s, "like": [normal(k, x) for k, x in zip(b["kind"], s)]})
 
         return run
 
-    form = "kind string, value string, surrogate string"
-    open_ = write_shared(records.select("content").where("content is not null").mapInPandas(values, "kind string, value string").distinct(), "p2-values")
-    done: DataFrame | None = None
-    for attempt in range(rounds + 1):
-        last = attempt == rounds
-        drawn = write_shared(open_.mapInPandas(draw(attempt, last), form), "p2-drawn")
-        won = drawn.withColumn("n", F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("value"))).where("n = 1").drop("n")
-        if done is not None and not last:
+    every = write_shared(records.select("content").where("content is not null").mapInPandas(values, "kind string, value string").distinct(), "p2-values")
+    open_, done, attempt = every, None, 0
+    while True:
+        drawn = write_shared(open_.mapInPandas(draw(attempt), "kind string, value string, surrogate string, like string"), "p2-drawn")
+        first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"), F.first("like").alias("like"))
+        won = first.join(every.select("kind", F.col("value").alias("like")), ["kind", "like"], "left_anti").select("kind", "value", "surrogate")
+        if done is not None:
             won = won.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = write_shared(drawn if last else won, "p2-won")
+        won = write_shared(won, "p2-won")
         done = won if done is None else done.unionByName(won)
-        open_ = drawn.join(won.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value")
-        if last or open_.isEmpty():
-            break
-    return done.select("kind", "value", "surrogate")
+        open_ = write_shared(drawn.join(won.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value"), "p2-open")
+        if open_.isEmpty():
+            return done.select("kind", "value", "surrogate")
+        attempt += 1
 
 
 def replace_with_surrogates(records: DataFrame, table: DataFrame) -> DataFrame:
@@ -345,7 +511,7 @@ def replace_with_surrogates(records: DataFrame, table: DataFrame) -> DataFrame:
                 out.append(x)
             yield pd.DataFrame({"rec_table": b["rec_table"], "rec_id": b["rec_id"], "content": out})
 
-    base = records.select("rec_table", "rec_id", "content", F.xxhash64("rec_table", "rec_id", "content").alias("rec"))
-    found = base.select("rec", "content").where("content is not null").dropDuplicates(["rec"]).mapInPandas(mentions, "rec long, a long, e long, kind string, said string, value string")
+    base = records.select("rec_table", "rec_id", "content", F.sha2(F.concat_ws("\0", "rec_table", "rec_id", "content"), 256).alias("rec"))
+    found = base.select("rec", "content").where("content is not null").dropDuplicates(["rec"]).mapInPandas(mentions, "rec string, a long, e long, kind string, said string, value string")
     by_rec = found.join(table, ["kind", "value"]).groupBy("rec").agg(F.collect_list(F.struct("a", "e", "kind", "said", "surrogate")).alias("ms"))
     return base.join(by_rec, "rec", "left").select("rec_table", "rec_id", "content", "ms").mapInPandas(apply, "rec_table string, rec_id string, content string")

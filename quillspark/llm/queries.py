@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets as secrets_
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -32,8 +33,13 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return s.unionByName(neardup.duplicate_groups(_keyed(spark, d, "concepts", "slug", "compiled_truth"), key_similarity=0.7))
 
 
-#: The key of the surrogates; a deployment passes its own.
-SURROGATE_KEY = b"change-this-key"
+_KEYS: dict[str, bytes] = {}
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of the surrogates: spark.quillspark.surrogateKey; where it is unset a random one for this application."""
+    told = spark.conf.get("spark.quillspark.surrogateKey", None) or spark.sparkContext.getConf().get("spark.quillspark.surrogateKey")
+    return told.encode() if told else _KEYS.setdefault(spark.sparkContext.applicationId, secrets_.token_bytes(32))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,12 +52,12 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_surrogates(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct value's kind with its surrogate; the values themselves stay inside."""
-    return pii.surrogate_table(text_records(spark, d), SURROGATE_KEY).select("kind", "surrogate")
+    return pii.surrogate_table(text_records(spark, d), surrogate_key(spark)).select("kind", "surrogate")
 
 
 def p2_pseudonymised(spark: SparkSession, d: str) -> DataFrame:
     r = text_records(spark, d)
-    return pii.replace_with_surrogates(r, pii.surrogate_table(r, SURROGATE_KEY))
+    return pii.replace_with_surrogates(r, pii.surrogate_table(r, surrogate_key(spark)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
