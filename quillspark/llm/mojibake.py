@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.session import write_shared
 
 #: Encodings that text is commonly written in or read as.
-ENCODINGS = ("cp1250", "cp1251", "cp1252", "cp437", "cp850", "cp852", "cp866", "iso8859-2", "iso8859-5", "koi8-r", "latin-1", "mac-roman", "utf-8")
+ENCODINGS = ("cp1250", "cp1251", "cp1252", "cp1253", "cp437", "cp850", "cp852", "cp866", "iso8859-2", "iso8859-5", "iso8859-7", "koi8-r", "latin-1", "mac-roman", "utf-8")
 #: A change is learned from at least so many different aligned pairs.
 MIN_PAIRS = 2
 
 _NON = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"\d+")
 _STRANGE = re.compile(r"[^\x00-\x7f]")
+_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
 _PHRASE = re.compile(r"[^\x00-\x7f]{2,}[,;:]?(?: [^\x00-\x7f]+[,;:]?){2,4}")
 
 
@@ -91,7 +92,7 @@ def keyed_forms(text: str) -> set[tuple[str, str]]:
     """(key, form) of the words and phrases that hold non-ASCII characters."""
     out = set()
     for w in text.split():
-        if w.isascii() or len(w) > 60:
+        if w.isascii():
             continue
         bare = _DIGITS.sub("9", _NON.sub("", w))
         if any(c.isalnum() for c in bare):
@@ -153,8 +154,20 @@ def agreed(form: str, twin: str) -> tuple[list[tuple[str, str]], set[str]]:
 
 def predicted(twin: str) -> set[str]:
     """All that changes of encoding make of a form and that could be a form: those that leave it or lose signs to ASCII are not."""
-    out = {garble(twin, w, r) for w, r in CHANGES}
-    return {x for x in out if x and x != twin and not x.isascii()}
+    out: set[str] = set()
+    for w in ENCODINGS:
+        try:
+            data = _encode(twin, w)
+        except UnicodeError:
+            continue
+        for r in ENCODINGS:
+            if r not in (w, "utf-8"):
+                try:
+                    out.add(_decode(data, r))
+                except UnicodeError:
+                    pass
+    out.discard(twin)
+    return {x for x in out if not x.isascii()}
 
 
 def _predictions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,7 +207,12 @@ def learn(docs: DataFrame, min_pairs: int = MIN_PAIRS) -> list[tuple[str, str]]:
 
 # ---- 3. application -----------------------------------------------------------------------------------------------------------
 
-_CYRILLIC = frozenset(("cp1251", "koi8-r", "cp866", "iso8859-5"))
+_CYRILLIC, _GREEK = frozenset(("cp1251", "koi8-r", "cp866", "iso8859-5")), frozenset(("cp1253", "iso8859-7"))
+#: Letters of the scripts whose code pages have no Latin letters but the ASCII ones, and their vowels.
+_SCRIPTS = {
+    "cyrillic": (frozenset(map(chr, [*range(0x410, 0x450), 0x401, 0x451])), frozenset("аеёиоуыэюяАЕЁИОУЫЭЮЯ")),
+    "greek": (frozenset("ΐΰ" + "".join(map(chr, [*range(0x386, 0x38B), 0x38C, 0x38E, 0x38F, *range(0x391, 0x3A2), *range(0x3A3, 0x3CF)]))), frozenset("αεηιουωάέήίόύώϊϋΐΰΑΕΗΙΟΥΩΆΈΉΊΌΎΏ")),
+}
 _LATIN = "A-Za-zÀ-ÖØ-öø-ſȘ-ț"
 
 
@@ -210,29 +228,38 @@ class Change:
         esc = lambda bs: re.escape("".join(chars[b] for b in bs if b in chars))
         if self.wide:
             tail = f"[{esc(range(0x80, 0xC0))}]"
-            self.rx = re.compile(f"[{esc(range(0xC2, 0xE0))}]{tail}|[{esc(range(0xE0, 0xF0))}]{tail}{{2}}|[{esc(range(0xF0, 0xF5))}]{tail}{{3}}")
+            unit = f"[{esc(range(0xC2, 0xE0))}]{tail}|[{esc(range(0xE0, 0xF0))}]{tail}{{2}}|[{esc(range(0xF0, 0xF5))}]{tail}{{3}}"
+            self.rx, self.row = re.compile(unit), re.compile(f"(?:{unit}){{2,}}")
             self.first = frozenset(chars[b] for b in range(0xC2, 0xF5) if b in chars)
         else:
             self.rx = None
             self.first = frozenset(chars.values())
-            self.cyr = written in _CYRILLIC
+            self.script = "cyrillic" if written in _CYRILLIC else "greek" if written in _GREEK else None
+            self.cyr = self.script is not None  # such a page is told by whole words
             self.from_cyr = read in _CYRILLIC
 
     # -- text written as UTF-8
     def _fix_wide(self, text: str) -> tuple[str, int]:
         hits = 0
+        if not self.rx.search(text):
+            return text, 0
+        # letters of other scripts count in lines where they come in a row, since one alone may be a letter before a sign
+        rows = set()
+        for m in self.row.finditer(text):
+            if (y := restore(m[0], self.written, self.read)) and sum(map(_other_script, y)) >= 2:
+                rows.add(text.rfind("\n", 0, m.start()))
 
         def sub(m: re.Match) -> str:
             nonlocal hits
             y = restore(m[0], self.written, self.read)
-            if y is None or len(y) != 1 or not _plausible(y):
+            if y is None or len(y) != 1 or not (_plausible(y) or _other_script(y) and rows and text.rfind("\n", 0, m.start()) in rows):
                 return m[0]
             if self.read in ("cp1251", "koi8-r", "cp866", "iso8859-5") and _russian_as_is(text, m.start(), m.end(), y):
                 return m[0]
             hits += 1
             return y
 
-        return (self.rx.sub(sub, text), hits) if self.rx.search(text) else (text, 0)
+        return self.rx.sub(sub, text), hits
 
     # -- text written in a code page
     def _fix_narrow(self, text: str) -> tuple[str, int]:
@@ -257,7 +284,8 @@ class Change:
         if y is None:
             return w
         if self.cyr:
-            return y if any("Ѐ" <= c <= "ӿ" for c in y) and all("Ѐ" <= c <= "ӿ" or c in _TYPE or c in _PLAIN or ord(c) < 128 for c in y) else w
+            letters = _SCRIPTS[self.script][0]
+            return y if any(c in letters for c in y) and all(c in letters or c in _TYPE or c in _PLAIN or ord(c) < 128 for c in y) else self._signs(w)
         return y if all(c.isalpha() or ord(c) < 128 or c in _TYPE for c in y) else w
 
     def _signs(self, w: str) -> str:
@@ -273,7 +301,8 @@ class Change:
         if self.cyr:
             for m in (_SWAPPED if self.from_cyr else _ACCENTED).finditer(line):
                 y = restore(m[0], self.written, self.read)
-                if y and all("А" <= c <= "я" or c in "Ёё" for c in y) and _cased(y) and _vowels(y):
+                letters, vowels = _SCRIPTS[self.script]
+                if y and all(c in letters for c in y) and _cased(y) and (len(y) < 4 or not vowels.isdisjoint(y)) and (self.script != "greek" or y[-1] in vowels or y[-1] in "ςνΣΝ"):
                     n += len(m[0])
             return n if n >= 4 else 0
         for m in _INNER.finditer(line):
@@ -315,7 +344,7 @@ _ODD = re.compile(r"[a-zß-ÿ][ÀÈÌÒÙŒ±¿¡£×§°½©«»][a-zß-ÿ]")
 
 
 def _plausible(c: str) -> bool:
-    """A character that text of the tables' languages (Latin and Cyrillic scripts) and typography holds."""
+    """A character that text of Latin and Cyrillic scripts and typography holds."""
     o = ord(c)
     if 0x80 <= o <= 0x9F or 0xC0 <= o <= 0x17F or 0x400 <= o <= 0x45F or 0x218 <= o <= 0x21B:
         return True
@@ -333,8 +362,10 @@ def _cased(y: str) -> bool:
     return body == body.lower() or y == y.upper()
 
 
-def _vowels(y: str) -> bool:
-    return len(y) < 4 or any(c in "аеёиоуыэюяАЕЁИОУЫЭЮЯ" for c in y)
+def _other_script(c: str) -> bool:
+    """Greek, Armenian, Hebrew, Arabic, Georgian, Japanese, Chinese or Korean."""
+    o = ord(c)
+    return 0x370 <= o <= 0x3FF or 0x530 <= o <= 0x6FF or 0x10A0 <= o <= 0x10FF or 0x1F00 <= o <= 0x1FFF or 0x3040 <= o <= 0x30FF or 0x4E00 <= o <= 0x9FFF or 0xAC00 <= o <= 0xD7AF
 
 
 @lru_cache(maxsize=256)
@@ -347,9 +378,11 @@ def repair(text: str, learned: tuple[tuple[str, str], ...]) -> tuple[str, bool,
     """(text as first written, garbled?, something lost?). Rounds go on while a change still explains stretches, for text garbled twice."""
     if not text or text.isascii():
         return text, False, False
+    seen = {text}
     found = lost = "\ufffd" in text
-    for _ in range(6):
+    while True:  # until nothing is explained any more, or a text comes back
         present = set(_STRANGE.findall(text))
+        runs = " ".join(_RUNS.findall(text))  # text written as UTF-8 has at least two such signs in a row
         best: tuple[int, str] | None = None
         cyr = _ACCENTED.search(text)
         swapped = any("А" <= c <= "я" for c in present) and _MIXED.search(text)
@@ -358,14 +391,17 @@ def repair(text: str, learned: tuple[tuple[str, str], ...]) -> tuple[str, bool,
             for c in _changes(learned):
                 if c.first.isdisjoint(present) or not (first and (c.wide or c.cyr and (swapped if c.from_cyr else cyr)) or latin and not c.wide and not c.cyr):
                     continue
+                if c.wide and not c.rx.search(runs):
+                    continue
                 fixed, hits = c.fix(text)
                 if hits and (best is None or hits > best[0]):
                     best = (hits, fixed)
             if best is not None:
                 break
-        if best is None:
+        if best is None or best[1] in seen:
             break
         text, found = best[1], True
+        seen.add(text)
         if text.isascii():
             break
     return text, found, lost
