@@ -6,7 +6,7 @@ positions equal. Windows of a document are embedded the same way, all starts of
 samples positions of the embedding; windows that agree on a sample are candidates, verified by their exact edit distance in words.
 With no edits allowed, equal windows have equal embeddings, so one repetition finds all of them. For e edits every repetition
 walks by random bits of its own, and the number of repetitions of each size of window is the least whose recall, measured on
-windows of the items under random edits, reaches the target; a window of no more words than edits is found only unedited.
+windows of the items for every kind and place of an edit, reaches the target; a window of no more words than edits is found only unedited.
 
 Scale: the items are the query set; their sampled keys go to the tasks in blocks of a checked size, the documents are read once
 per block and never shuffled. A document's candidates stay in its batch. Defined cases: null or empty text has no words; an item
@@ -188,32 +188,40 @@ def edit_distance(a, b, most: int) -> int:
     return row[-1]
 
 
-def edited(w: list[str], edits: int, rng: random.Random) -> list[str]:
-    """A window under random edits, each of which changes it: words left out, changed, or put in between its words."""
+def edited(w: list[str], edits: int, rng: random.Random, first: tuple[int, int] | None = None) -> list[str]:
+    """A window under random edits, each of which changes it: words left out (0), changed (1), or put in between its words (2). The kind
+    and place of the first edit may be given."""
     b = list(w)
     for n in range(edits):
-        q, new = rng.randrange(len(b)) if b else 0, f"x{rng.getrandbits(60)}"
-        kind = rng.randrange(3 if 0 < q else 2)
+        kind, q = first if n == 0 and first else (0, rng.randrange(len(b)) if b else 0)
+        if not (n == 0 and first):
+            kind = rng.randrange(3 if 0 < q else 2)
+        new = f"x{rng.getrandbits(60)}"
         b[q : q + 1] = [] if kind == 0 else [new] if kind == 1 else [new, b[q]]
     return b
 
 
-def measured_recall(pool: list[list[str]], m: int, edits: int, walks: int, tries: int = 600, seed: int = SEED) -> list[float]:
-    """Share of windows of m words that meet their edited form within the first 1, 2, ... repetitions."""
+def measured_recall(pool: list[list[str]], m: int, edits: int, walks: int, tries: int = 300, seed: int = SEED) -> list[float]:
+    """Share of windows of m words that meet their edited form within the first 1, 2, ... repetitions, for the kind and place of the first
+    edit where it is least; `tries` windows for each."""
     rng = random.Random(seed)
     clean, other, long = [], [], m + edits + 1
-    for _ in range(tries):
-        w = rng.choice(pool)
-        p = rng.randrange(len(w) - m + 1)
-        a = w[p : p + m]
-        clean += [_hash(x) for x in (a + [""] * long)[:long]]
-        other += [_hash(x) for x in (edited(a, edits, rng) + [f"y{rng.random()}" for _ in range(long)])[:long]]
-    at = np.arange(tries) * long
-    met, out = np.zeros(tries, dtype=bool), []
+    places = [(kind, q) for kind in range(3) for q in range(m) if kind < 2 or q]
+    for first in places:
+        for _ in range(tries):
+            w = rng.choice(pool)
+            p = rng.randrange(len(w) - m + 1)
+            a = w[p : p + m]
+            clean += [_hash(x) for x in (a + [""] * long)[:long]]
+            other += [_hash(x) for x in (edited(a, edits, rng, first) + [f"y{rng.random()}" for _ in range(long)])[:long]]
+    at = np.arange(tries * len(places)) * long
+    met, out = np.zeros(len(at), dtype=bool), []
     for r, steps in enumerate(samples(3 * m, walks, sampled(m, edits))):
         x, y = (sampled_keys(np.array(h, dtype=np.uint64), at, m, m, {m: [steps]}, r)[m][0] for h in (clean, other))
         met |= x == y
-        out.append(float(met.mean()))
+        out.append(float(met.reshape(len(places), tries).mean(axis=1).min()))
+        if out[-1] >= 0.998:
+            break
     return out
 
 
@@ -222,7 +230,8 @@ MOST_REPETITIONS = 128
 
 
 def repetitions_by_size(items: list[tuple[int, str]], window: int, edits: int, recall: float = 0.95) -> dict[int, int]:
-    """For each size of the items' windows, the least repetitions whose measured recall reaches the target, with three standard errors to spare."""
+    """For each size of the items' windows, the least repetitions whose measured recall reaches the target wherever the edit falls, with a
+    standard error to spare."""
     pools: dict[int, list[list[str]]] = {}
     for _, t in items:
         if w := words_of(t):
@@ -232,7 +241,7 @@ def repetitions_by_size(items: list[tuple[int, str]], window: int, edits: int, r
         if edits == 0 or m <= edits:
             out[m] = 1
             continue
-        target = min(0.998, recall + 3 * math.sqrt(recall * (1 - recall) / 600))
+        target = min(0.998, recall + math.sqrt(recall * (1 - recall) / 300))
         reached = next((r for r, x in enumerate(measured_recall(pool, m, edits, MOST_REPETITIONS), 1) if x >= target), None)
         if reached is None:
             raise ValueError(f"recall {recall} is not reached for windows of {m} words with {edits} edits")
