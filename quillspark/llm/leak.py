@@ -9,7 +9,8 @@ walks by random bits of its own, and the number of repetitions of each size of w
 windows of the items for every kind and place of an edit, reaches the target; a window of no more words than edits is found only unedited.
 
 Scale: the items are the query set; their sampled keys go to the tasks in blocks of a checked size, the documents are read once
-per block and never shuffled. A document's candidates stay in its batch. Defined cases: null or empty text has no words; an item
+per block and never shuffled. A document's candidates stay in its batch. A query set of more than a few blocks is joined by its keys
+instead, behind a bit filter of a stated size, with one pass over the documents. Defined cases: null or empty text has no words; an item
 without words is in no document; repeated rows give one pair; pairs are (doc_id, item_id), each once.
 """
 
@@ -23,7 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from quillspark.session import write_shared
 
 WINDOW = 13
 #: Positions of the embedding that one repetition samples.
@@ -254,9 +257,106 @@ def repetitions_for(items: list[tuple[int, str]], window: int, edits: int, recal
     return max(repetitions_by_size(items, window, edits, recall).values(), default=1)
 
 
+#: Bits of the filter that the documents' windows pass before a join, for each key of the items; and its largest size, 128 MB.
+FILTER_BITS, MOST_BITS = 16, 30
+#: Bits of one piece of the filter, which one task makes.
+PIECE_BITS = 16
+
+
+def _window_keys(batches: Iterator[pd.DataFrame], window: int, edits: int, reps: dict[int, int]) -> Iterator[tuple[int, np.ndarray, ItemBlock, np.ndarray]]:
+    """(item windows' size, keys, block, their windows) of every repetition, for items(item_id, text) in blocks."""
+    for b in batches:
+        block = ItemBlock(list(zip(b["item_id"], b["text"])), window, edits, reps)
+        for (m, _), (keys, own, _) in block.lookup.items():
+            yield m, keys, block, own
+
+
+def joined_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = 0, recall: float = 0.95, sample: int = 2_000) -> DataFrame:
+    """(doc_id, item_id) by a join of sampled keys, for more items than fit in a few blocks: the documents are read once whatever the
+    number of items. Windows of documents pass a bit filter of the items' keys, of a stated largest size, before they are shuffled.
+    Repetitions are chosen on a sample of at most `sample` items."""
+    spark = docs.sparkSession
+    pool = [(i, t) for i, t in enumerate(r.text for r in items.select("text").where("text is not null").orderBy(F.xxhash64("text")).limit(sample).collect())]
+    known = repetitions_by_size(pool, window, edits, recall)
+    most = max(known.values(), default=1)
+    reps = {m: known.get(m, 1 if edits == 0 or m <= edits else most) for m in range(1, window + 1)}
+    its = items.select("item_id", "text").where("text is not null").distinct()
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for m, k, block, own in _window_keys(batches, window, edits, reps):
+            yield pd.DataFrame({"key": k.astype(np.int64), "item_id": [block.windows[n][0] for n in own.tolist()], "m": m, "want": [" ".join(block.windows[n][1]) for n in own.tolist()]})
+
+    wanted = write_shared(its.mapInPandas(keys, "key long, item_id long, m int, want string").distinct(), "p8-keys")
+    bits = min(MOST_BITS, max(PIECE_BITS, math.ceil(math.log2(max(1, wanted.count() * FILTER_BITS)))))
+
+    def piece(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        at = g["at"].to_numpy()
+        out = np.zeros(1 << PIECE_BITS, dtype=bool)
+        out[at] = True
+        return pd.DataFrame({"piece": [key[0]], "bits": [np.packbits(out).tobytes()]})
+
+    place = F.col("key").bitwiseAND((1 << bits) - 1)
+    low = place.bitwiseAND((1 << PIECE_BITS) - 1)
+    pieces = wanted.select(F.shiftright(place, PIECE_BITS).alias("piece"), low.alias("at")).distinct().groupBy("piece").applyInPandas(piece, "piece long, bits binary")
+    table = np.zeros((1 << (bits - PIECE_BITS), 1 << (PIECE_BITS - 3)), dtype=np.uint8)
+    for r in pieces.toLocalIterator():  # at most 2^30 bits in all
+        table[r.piece] = np.frombuffer(r.bits, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(table.tobytes())
+    sizes = sorted(r.m for r in wanted.select("m").distinct().collect())
+    plans = {m: samples(3 * m, reps[m], sampled(m, edits)) for m in sizes}
+    longest = max(sizes, default=0)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filt = np.frombuffer(shared.value, dtype=np.uint8)
+        mask = np.uint64((1 << bits) - 1)
+        for b in batches:
+            words, ids, begin = [], [], [0]
+            for d, t in zip(b["doc_id"], b["text"]):
+                words += words_of(t)
+                ids.append(d)
+                begin.append(len(words))
+            if not words or not sizes:
+                continue
+            h = np.fromiter((_hash(w) for w in words), dtype=np.uint64, count=len(words))
+            begin_a = np.array(begin)
+            for lo in range(0, len(words), 200_000):
+                starts = np.arange(lo, min(lo + 200_000, len(words)))
+                doc = np.searchsorted(begin_a, starts, "right") - 1
+                room = begin_a[doc + 1] - starts
+                for r in range(max(map(len, plans.values()))):
+                    for m, (k,) in sampled_keys(h, starts, 0, longest, {m: [p[r]] for m, p in plans.items() if r < len(p)}, r).items():
+                        bit = k & mask
+                        hit = (filt[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1
+                        near = np.flatnonzero((hit == 1) & (room >= max(1, m - edits)))
+                        if len(near):
+                            yield pd.DataFrame({
+                                "key": k[near].astype(np.int64), "doc_id": [ids[i] for i in doc[near].tolist()],
+                                "said": [" ".join(words[p : min(begin[i + 1], p + m + edits)]) for p, i in zip(starts[near].tolist(), doc[near].tolist())],
+                            })
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for said, want in zip(b["said"], b["want"]):
+                w, x = said.split(" "), want.split(" ")
+                keep.append(any(edit_distance(w[:n], x, edits) <= edits for n in range(max(1, len(x) - edits), min(len(w), len(x) + edits) + 1)))
+            yield b.loc[keep, ["doc_id", "item_id"]]
+
+    met = docs.select("doc_id", "text").where("text is not null").mapInPandas(meet, "key long, doc_id long, said string")
+    return met.join(wanted.select("key", "item_id", "want"), "key").drop("key").distinct().mapInPandas(verify, "doc_id long, item_id long").distinct()
+
+
+#: Blocks of items above which the documents are joined instead of read once for each.
+MOST_BLOCKS = 4
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = 0, recall: float = 0.95, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, item_id) of docs(doc_id, text) against items(item_id, text). The items are read in blocks of at most about
-    `block_windows` windows; a larger query set means more passes over the documents, not larger blocks."""
+    `block_windows` windows, a pass over the documents each; for more than a few blocks the keys are joined (`joined_leaks`), with the
+    same embeddings, keys and check."""
+    chars = items.select(F.sum(F.length("text"))).first()[0] or 0
+    if chars // 5 > MOST_BLOCKS * block_windows:
+        return joined_leaks(docs, items, window, edits, recall)
     found: DataFrame | None = None
     block: list[tuple[int, str]] = []
     size = 0

@@ -24,7 +24,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.session import write_shared
+from quillspark.session import spread, write_shared
 
 #: Encodings that text is commonly written in or read as.
 ENCODINGS = ("cp1250", "cp1251", "cp1252", "cp1253", "cp437", "cp850", "cp852", "cp866", "iso8859-2", "iso8859-5", "iso8859-7", "koi8-r", "latin-1", "mac-roman", "utf-8")
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, min_pairs: int = MIN_PAIRS) -> list[tuple[str, str]]:
     """Changes of encoding seen in docs(text), most voted first. What comes to the driver is bounded by the number of changes."""
     forms = docs.select("text").where("text is not null").mapInPandas(_forms, "key string, form string, n long").groupBy("key", "form").agg(F.sum("n").alias("n"))
     forms = write_shared(forms.groupBy("form").agg(F.max("n").alias("n")), "p9-forms")
-    twins = forms.mapInPandas(_predictions, "form string, twin string, m long")
+    twins = spread(forms).mapInPandas(_predictions, "form string, twin string, m long")
     pairs = forms.join(twins, "form").mapInPandas(_votes, "change string, x string, y string").distinct()
     # two code pages may explain the same pairs: a change must have pairs of its own or more than any rival of its reading
     rows = pairs.groupBy("change").agg(F.count("*").alias("pairs"), F.sum(F.length("y")).alias("signs")).where(F.col("pairs") >= min_pairs).collect()

@@ -177,7 +177,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int
         "p7-sized",
     )
     done: DataFrame | None = None
-    rest, rounds = sized, 0
+    rest, rounds, before = sized, 0, None
     while True:
         total = rest.agg(F.sum("n_tokens")).first()[0] or 0
         shards = max(1, -(-int(total) // shard_tokens))
@@ -188,7 +188,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int
             .applyInPandas(_pack_shard(capacity, f"r{rounds}", LOOSE), PACKED)
         )
         rounds += 1
-        last = shards == 1 or rounds >= 4
+        last = shards == 1 or before is not None and total > 0.9 * before  # until all that is loose is one shard, or packing it again gains little
+        before = total
         if not last:
             packed = write_shared(packed, f"p7-round{rounds}")
         keep = packed if last else packed.where(~F.col("loose"))

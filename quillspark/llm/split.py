@@ -11,6 +11,7 @@ piece from `split_text`; text without any pause is cut between characters. Offse
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,10 +58,10 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
         for m in rx.finditer(text):
             best[m.end()] = cost
     marks = [m.start() for m in _FENCE.finditer(text)]
-    for a, b in zip(marks[::2], marks[1::2]):
-        for p in best:
-            if a < p <= b:
-                best[p] += IN_FENCE
+    for p in best:
+        i = bisect_left(marks, p)  # marks before p
+        if i % 2 and i < len(marks):
+            best[p] += IN_FENCE
     best.pop(0, None)
     best[n] = 0.0
     edges = sorted(best)
@@ -103,7 +104,10 @@ def _overlap_starts(pos: np.ndarray, pen: np.ndarray, dense: np.ndarray, overlap
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of each piece. Every piece is within the limit; each but the first starts about `overlap` tokens before the last one's end."""
+    """(start, end, tokens) of each piece. Every piece is within the limit; each but the first starts about `overlap` tokens before the last
+    one's end. An overlap that isn't below the limit is an error."""
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} does not fit a limit of {limit}")
     n = len(text)
     if n == 0:
         return []
@@ -111,7 +115,6 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     total = int(_tokens(np.array([n]), np.array([dense[n]]))[0])
     if total <= limit:
         return [(0, n, total)]
-    overlap = min(overlap, limit // 3)
     pos, pen = boundaries(text)
     starts = np.concatenate(([0], _overlap_starts(pos, pen, dense, overlap)))  # starts[i]: for the piece after the i-th boundary
     ends = np.concatenate(([0], pos))
@@ -140,7 +143,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         cost[j] = c[i] + pen[j - 1] + PER_PIECE
         back[j] = lo + i
     if not np.isfinite(cost[-1]):  # a limit below one boundary gap: plain steps
-        step = max(1, limit * 2 - overlap * 4)
+        step = max(1, 2 * (limit - overlap))
         cuts = [(max(0, a - 2 * overlap), min(n, a + step)) for a in range(0, n, step)]
     else:
         cuts, j = [], m - 1
@@ -155,11 +158,8 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
 def headings_at(text: str, starts: list[int]) -> list[str | None]:
     """The last markdown heading at or before each start, outside nothing in particular; None where there is none."""
     found = [(m.start(), m[1]) for m in _HEADING.finditer(text)]
-    out: list[str | None] = []
-    for s in starts:
-        before = [h for p, h in found if p <= s]
-        out.append(before[-1] if before else None)
-    return out
+    at = [p for p, _ in found]
+    return [found[i - 1][1] if (i := bisect_right(at, s)) else None for s in starts]
 
 
 PIECES = "rec_table string, rec_id string, position long, token_count long, heading string, start_char long, end_char long, content string"

@@ -77,3 +77,16 @@ def test_near_recall_of_edited_windows():
         docs = [(i, " ".join(["before", *leak.edited(t.split(), 1, rng), "after"])) for i, t in items]
         got = leak.ItemBlock(items, 13, 1, leak.repetitions_by_size(items, 13, 1, 0.95)).pairs(docs)
         assert got <= {(i, i) for i, _ in items} and len(got) >= 0.94 * len(items), (m, len(got))
+
+
+def test_joined_keys_find_the_same(spark):
+    docs, items = corpus(6, 90)
+    its = items + [(100, ""), (101, None), (103, "straße 12 ÑANDÚ")]
+    d = spark.createDataFrame(docs + [docs[0], (900, None), (901, ""), (902, "Straße_12 ñandú " * 3)], "doc_id long, text string")
+    i = spark.createDataFrame(its, "item_id long, text string")
+    assert {tuple(r) for r in leak.joined_leaks(d, i).collect()} == brute(docs, items) | {(902, 103)}
+    want = brute(docs, items, 1)
+    got = {tuple(r) for r in leak.joined_leaks(d, i, edits=1).collect()} - {(902, 103)}
+    assert got <= want | {(902, 103)} and len(got) >= 0.95 * len(want)
+    assert {tuple(r) for r in leak.find_leaks(d, i, block_windows=20).collect()} == brute(docs, items) | {(902, 103)}  # so many blocks are joined
+    assert leak.joined_leaks(d, i.where("false")).count() == 0 and leak.joined_leaks(d.where("false"), i).count() == 0

@@ -96,3 +96,14 @@ def test_pack_documents(spark):
     assert out[out.doc_id == 4].n_tokens.sum() == len(pack.load_tokenizer().encode_ordinary("word " * 5000))
     assert out[out.doc_id == 1].container.nunique() == 2
     assert pack.pack_documents(df.where("false")).count() == 0
+
+
+def test_overlap_is_what_is_asked_for():
+    import pytest
+
+    text = " ".join(f"Sentence number {i} goes on." for i in range(3000))
+    cuts = split.split_text(text, 400, 200)
+    assert all(t <= 400 for _, _, t in cuts) and cuts[-1][1] == len(text)
+    assert all(150 <= split.split_text(text[b : a2], 10**9, 0)[0][2] <= 250 for (_, a2, _), (b, _, _) in zip(cuts, cuts[1:]))
+    with pytest.raises(ValueError):
+        split.split_text(text, 100, 100)
