@@ -8,7 +8,7 @@ from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
 from quillspark.plans.porter_sql import porter_ctes
 from quillspark.plans.registry import register
-from quillspark.session import file_stamp, table
+from quillspark.session import file_stamp, spread, table
 
 _INDEXES: dict[tuple[str, str], R.ChunkIndex] = {}
 
@@ -21,7 +21,7 @@ def chunk_index(spark: SparkSession, d: str) -> R.ChunkIndex:
     """The index of the chunk table, built once an application for the files as they are."""
     key = (spark.sparkContext.applicationId, file_stamp(spark, f"{d}/chunks.parquet"))
     if key not in _INDEXES:
-        _INDEXES[key] = R.ChunkIndex(chunk_rows(spark, d))
+        _INDEXES[key] = R.ChunkIndex(spread(chunk_rows(spark, d).select("chunk_id", "content"), "chunk_id"))
     return _INDEXES[key]
 
 
