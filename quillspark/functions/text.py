@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -122,35 +125,66 @@ def luhn_valid(digits: Column) -> Column:
     return F.length(digits).between(13, 19) & digits.rlike("^[0-9]+$") & F.call_function("luhn_check", digits)
 
 
-def _step(c: Column, name: str, rx: str, put: str) -> tuple[Column, Column]:
-    """(text, number of replacements) after one pattern; of card numbers only those that pass the check, each at its own place."""
+def _step(c: Column, name: str, rx: str, put: str) -> Column:
+    """The text after one pattern; of card numbers only those that pass the check, each at its own place."""
     rx = ascii_boundaries(rx)
     if name != "credit_card":
-        return F.regexp_replace(c, rx, put), F.regexp_count(c, F.lit(rx))
+        return F.regexp_replace(c, rx, put)
     found = F.regexp_extract_all(c, F.lit(rx), F.lit(0))
     valid = lambda m: luhn_valid(F.regexp_replace(m, "[^0-9]", ""))
     kept = F.transform(found, lambda m: F.when(valid(m), put).otherwise(m))
     text = F.array_join(F.transform(F.arrays_zip(F.split(c, rx, -1).alias("a"), kept.alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit("")))), "")
-    return F.when(F.size(found) > 0, text).otherwise(c), F.size(F.filter(found, valid))
+    return F.when(F.size(found) > 0, text).otherwise(c)
 
 
 def scrub(c: Column, allow: tuple[str, ...] = ()) -> Column:
     """The text with every match of the catalogue, in order, each pattern on what the one before left, replaced."""
     for name, rx, put in PII_CATALOGUE:
         if name not in allow:
-            c, _ = _step(c, name, rx, put)
+            c = _step(c, name, rx, put)
     return c
 
 
+def _luhn(digits: str) -> bool:
+    if not 13 <= len(digits) <= 19:
+        return False
+    twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(n - 9 * (n > 9) for n in twice) % 10 == 0
+
+
+def scrub_text(text: str, allow: frozenset[str] = frozenset()) -> tuple[str, dict[str, int]]:
+    """One text scrubbed, and how often each pattern was replaced."""
+    counts: dict[str, int] = {}
+    for name, rx, put in PII_CATALOGUE:
+        if name in allow:
+            continue
+        card = name == "credit_card"
+        n = 0
+
+        def replaced(m: re.Match) -> str:
+            nonlocal n
+            if card and not _luhn(re.sub(r"[^0-9]", "", m[0])):
+                return m[0]
+            n += 1
+            return put
+
+        text = re.sub(rx, replaced, text, flags=re.ASCII)
+        if n:
+            counts[name] = n
+    return text, counts
+
+
 def scrubbed(df: DataFrame, column: str, allow: tuple[str, ...] = ()) -> DataFrame:
-    """df with `column` scrubbed and a map `redactions` of how often each pattern was found, for those found. Each pattern is a projection
-    of its own, so the text of one step is computed once."""
-    names = [x for x in PII_CATALOGUE if x[0] not in allow]
-    for name, rx, put in names:
-        text, n = _step(F.col(f"`{column}`"), name, rx, put)
-        df = df.withColumn(f"_n_{name}", F.coalesce(n, F.lit(0))).withColumn(column, text)
-    counts = F.create_map(*[x for name, _, _ in names for x in (F.lit(name), F.col(f"_n_{name}").cast("long"))])
-    return df.withColumn("redactions", F.map_filter(counts, lambda k, v: v > 0)).drop(*[f"_n_{name}" for name, _, _ in names])
+    """df with `column` scrubbed and a map `redactions` of how often each pattern was replaced, for those found. Text and counts come from
+    one pass in Arrow batches: as column expressions every count would hold all the replacements before it once more."""
+    skip = frozenset(allow)
+
+    @F.pandas_udf("text string, redactions map<string,bigint>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        done = [scrub_text(t, skip) if t is not None else (None, {}) for t in texts]
+        return pd.DataFrame({"text": [t for t, _ in done], "redactions": [n for _, n in done]})
+
+    return df.withColumn("_s", run(F.col(f"`{column}`"))).withColumn(column, F.col("_s.text")).withColumn("redactions", F.col("_s.redactions")).drop("_s")
 
 
 def strict(df: DataFrame, column: str, allow: tuple[str, ...] = ()) -> DataFrame:

@@ -81,11 +81,11 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("label").agg(F.count("*").alias("size"))
 
 
-def _rank_sql(rounds: int = 10) -> str:
+def _rank_sql(rounds: int = 10, digits: int = 6) -> str:
     parts = [_UND, "k AS (SELECT node, nb FROM u WHERE node IN (SELECT slug FROM concepts) AND nb IN (SELECT slug FROM concepts))", "o AS (SELECT node, count(*) AS outs FROM k GROUP BY node)", "n AS (SELECT count(DISTINCT slug) AS n FROM concepts)", "s0 AS (SELECT DISTINCT slug, 1.0 / n AS score FROM concepts, n)"]
     for i in range(1, rounds + 1):
         parts.append(f"g{i} AS (SELECT nb AS slug, sum(score / outs) AS got FROM k JOIN o USING (node) JOIN s{i - 1} ON s{i - 1}.slug = node GROUP BY nb), x{i} AS (SELECT coalesce(sum(score), 0) AS d FROM s{i - 1} WHERE slug NOT IN (SELECT node FROM o)), s{i} AS (SELECT s.slug, 0.15 / n + 0.85 * (coalesce(got, 0) + d / n) AS score FROM s{i - 1} s LEFT JOIN g{i} USING (slug), x{i}, n)")
-    return "WITH " + ", ".join(parts) + f" SELECT slug, round(score, 6) AS score FROM s{rounds}"
+    return "WITH " + ", ".join(parts) + f" SELECT slug, round(score, {digits}) AS score FROM s{rounds}"
 
 
 @register(_rank_sql())
@@ -93,9 +93,10 @@ def pagerank10(spark: SparkSession, d: str) -> DataFrame:
     return G.pagerank(table(spark, d, "concepts"), table(spark, d, "edges"), rounds=10, tolerance=None).select("slug", F.round("score", 6).alias("score"))
 
 
-@register()
+@register("WITH r AS (" + _rank_sql(60, 9) + ") SELECT slug, round(score, 5) AS score FROM r")
 def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
-    return G.pagerank(table(spark, d, "concepts"), table(spark, d, "edges"))
+    """Until the change is below 1e-6; by SQL in many more rounds than that takes."""
+    return G.pagerank(table(spark, d, "concepts"), table(spark, d, "edges")).select("slug", F.round("score", 5).alias("score"))
 
 
 def _lpa_sql(rounds: int = 5) -> str:
@@ -128,6 +129,24 @@ def concept_detail(spark: SparkSession, d: str) -> DataFrame:
     return c.select("slug", "name").join(o, "slug", "left").join(i, "slug", "left").join(s, "slug", "left").select("slug", "name", z("out_edges"), z("in_edges"), z("sources"))
 
 
+@register("""WITH o AS (SELECT from_slug AS slug, string_agg(relation || ':' || to_slug, ' ' ORDER BY weight DESC, relation || ':' || to_slug) AS out_edges FROM edges GROUP BY 1), i AS (SELECT to_slug AS slug, string_agg(relation || ':' || from_slug, ' ' ORDER BY weight DESC, relation || ':' || from_slug) AS in_edges FROM edges GROUP BY 1),
+l AS (SELECT from_slug AS slug, source_id, max(weight) AS w FROM edges WHERE source_id IS NOT NULL GROUP BY ALL), s AS (SELECT slug, string_agg(source_id, ' ' ORDER BY w DESC, source_id) AS sources FROM l GROUP BY 1)
+SELECT c.slug, coalesce(out_edges, '') AS out_edges, coalesce(in_edges, '') AS in_edges, coalesce(sources, '') AS sources FROM concepts c LEFT JOIN o USING (slug) LEFT JOIN i USING (slug) LEFT JOIN s USING (slug)""")
+def concept_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Every concept with its edges out and in by falling weight, and its sources by relevance, as lists."""
+    e = table(spark, d, "edges")
+
+    def listed(df: DataFrame, key: str, item, name: str) -> DataFrame:
+        x = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), item.alias("x"))))
+        return df.groupBy(F.col(key).alias("slug")).agg(F.array_join(F.transform(x, lambda y: y["x"]), " ").alias(name))
+
+    s = e.where("source_id is not null").groupBy("from_slug", "source_id").agg(F.max("weight").alias("weight"))
+    out = table(spark, d, "concepts").select("slug")
+    for df in (listed(e, "from_slug", F.concat_ws(":", "relation", "to_slug"), "out_edges"), listed(e, "to_slug", F.concat_ws(":", "relation", "from_slug"), "in_edges"), listed(s, "from_slug", F.col("source_id"), "sources")):
+        out = out.join(df, "slug", "left")
+    return out.select("slug", *[F.coalesce(c, F.lit("")).alias(c) for c in ("out_edges", "in_edges", "sources")])
+
+
 @register("SELECT from_slug, to_slug, relation, weight, source_id FROM edges ORDER BY weight DESC, from_slug, to_slug, relation, source_id LIMIT 50")
 def edge_listing(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "edges").orderBy(F.desc("weight"), "from_slug", "to_slug", "relation", F.asc_nulls_last("source_id")).limit(50)

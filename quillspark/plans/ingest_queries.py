@@ -247,3 +247,44 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_log").where("query_text is not null")
     w = F.concat((F.col("id") % 90).cast("string"), F.substring(F.lit("dhmsx"), (F.col("id") % 5 + 1).cast("int"), F.lit(1)))
     return q.select("query_text", X.duration_seconds(w).alias("seconds")).distinct()
+
+
+_KNOWN = ("python", "yaml", "rust", "shell", "go")
+
+
+@register(f"""WITH c AS (SELECT scope_key, lower(language) AS language FROM sources WHERE source_type = 'code' AND language IS NOT NULL), n0 AS (SELECT scope_key, language, count(*) AS n FROM c GROUP BY scope_key, language), n AS (SELECT *, sum(n) OVER (PARTITION BY scope_key) AS total FROM n0)
+SELECT DISTINCT scope_key AS root, 'codebase' AS kind, scope_key AS key FROM c UNION SELECT scope_key, 'framework', language FROM c WHERE language IN {_KNOWN} UNION SELECT scope_key, 'language', language FROM n WHERE n >= least(50, ceil(total * 0.05))""")
+def scope_list(spark: SparkSession, d: str) -> DataFrame:
+    """Every code base with its frameworks and languages as scopes; a list of its languages stands in for its manifest."""
+    c = sources(spark, d, "code").where("language is not null").select(F.col("scope_key").alias("root"), F.lower("language").alias("language"))
+    m = c.groupBy("root").agg(F.array_join(F.transform(F.collect_set("language"), lambda x: F.concat(x, F.lit("==1.0"))), "\n").alias("text"))
+    f = m.select("root", F.lit("framework").alias("kind"), F.explode(X.frameworks(F.lit("requirements.txt"), F.col("text"), _KNOWN)).alias("key"))
+    n = c.groupBy("root", "language").agg(F.count("*").alias("n"))
+    total = n.groupBy("root").agg(F.sum("n").alias("total"))
+    l = n.join(total, "root").where(F.col("n") >= F.least(F.lit(50), F.ceil(F.col("total") * 0.05))).select("root", F.lit("language").alias("kind"), F.col("language").alias("key"))
+    return c.select("root", F.lit("codebase").alias("kind"), F.col("root").alias("key")).unionByName(f).unionByName(l).distinct()
+
+
+@register("WITH f AS (SELECT scope_key, title AS name, min(content) AS content FROM sources WHERE source_type = 'code' GROUP BY ALL) SELECT scope_key, substr(sha1(string_agg(name || ':' || substr(sha1(content), 1, 16), '|' ORDER BY name)), 1, 16) AS key FROM f GROUP BY 1")
+def codebase_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The key of every code base by the fingerprint of its files."""
+    f = sources(spark, d, "code").groupBy("scope_key", F.col("title").alias("name")).agg(F.min("content").alias("content"))
+    files_ = f.groupBy("scope_key").agg(F.array_sort(F.collect_list(F.struct("name", "content"))).alias("files"))
+    return files_.select("scope_key", X.codebase_key(X.fingerprint(F.col("files"))).alias("key"))
+
+
+@register("SELECT id, sha256('# ' || title || chr(10) || chr(10) || coalesce('Source: ' || url || chr(10) || chr(10), '') || content) AS document FROM sources")
+def issue_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Sources sent in base64, decoded and rendered with a heading; by their hash."""
+    s = sources(spark, d).withColumn("sent", F.base64(F.encode("content", "UTF-8")))
+    text = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.coalesce(F.concat(F.lit("Source: "), F.col("url"), F.lit("\n\n")), F.lit("")), F.decode(F.unbase64("sent"), "UTF-8"))
+    return s.select("id", F.sha2(text, 256).alias("document"))
+
+
+@register("WITH u AS (SELECT source_id AS id, max(embedded_at) AS at FROM chunks WHERE embedded_at IS NOT NULL GROUP BY 1) SELECT s.id, epoch_us(coalesce(u.at, s.compiled_at)) AS compiled FROM sources s LEFT JOIN u USING (id)")
+def compiled_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Sources marked compiled at the last time that one of their chunks tells."""
+    from quillspark.operators.folds import latest
+
+    u = latest(table(spark, d, "chunks").where("embedded_at is not null").select(F.col("source_id").alias("id"), F.col("embedded_at").alias("at")), ["id"], "at")
+    return sources(spark, d).join(u, "id", "left").select("id", F.unix_micros(F.coalesce("at", "compiled_at").cast("timestamp")).alias("compiled"))

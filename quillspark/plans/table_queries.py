@@ -128,6 +128,17 @@ def scrubbed(spark: SparkSession, d: str) -> DataFrame:
     return T.scrubbed(table(spark, d, "sources").select("id", "content"), "content").drop("redactions")
 
 
+_STEPS_SQL = _scrub_sql().rpartition(" SELECT id, t AS content")[0]
+
+
+@register(_STEPS_SQL + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS pattern, CAST(sum(len(regexp_extract_all(t, '{rx.replace(chr(39), chr(39) * 2)}'))) AS BIGINT) AS n FROM s{i}" for i, (n, rx, _) in enumerate(T.PII_CATALOGUE) if (n, rx) in _COUNTED) + ") WHERE n > 0")
+def redaction_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How often each pattern of the catalogue was replaced, by the maps of counts of all sources."""
+    r = T.scrubbed(table(spark, d, "sources").select("id", "content"), "content")
+    n = r.select(F.explode("redactions").alias("pattern", "n")).groupBy("pattern").agg(F.sum("n").alias("n"))
+    return n.where(F.col("pattern").isin(*[x for x, _ in _COUNTED]))
+
+
 @register("WITH s AS (" + _scrub_sql() + ") SELECT s.id, s.content = o.content AS clean FROM s JOIN sources o USING (id)")
 def strict_rejections(spark: SparkSession, d: str) -> DataFrame:
     """Sources that strict mode accepts."""
