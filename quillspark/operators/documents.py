@@ -29,10 +29,19 @@ def tokens(text: str) -> int:
     return ceil(n / (4 - 1.5 * (sum(c in _DENSE for c in text) / n))) if n else 0
 
 
+def sentences(text: str) -> list[str]:
+    """Sentences with their ends and the blanks behind; what follows the last end is in none. Only the part up to the last end is looked at,
+    so a long text without ends isn't tried from every place."""
+    end = max(text.rfind(c) for c in ".!?") + 1
+    while end and end < len(text) and text[end].isspace():
+        end += 1
+    return _SENTENCES.findall(text[:end]) if end else []
+
+
 def split_sentences(text: str, most: int) -> list[str]:
     """Pieces of whole sentences within the limit; what follows the last full sentence belongs to no piece, unless there is no sentence at all."""
     out, held = [], ""
-    for s in _SENTENCES.findall(text) or [text]:
+    for s in sentences(text) or [text]:
         if held and tokens(held + s) > most:
             out.append(held.strip())
             held = s

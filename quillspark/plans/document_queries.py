@@ -9,20 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from quillspark.functions import text as T
 from quillspark.operators import documents as D
 from quillspark.plans.registry import register
-from quillspark.session import shared_folder, table
+from quillspark.session import shared_folder, spread, table
 from quillspark.sources import files
 
 
 @register()
 def chunked_sources(spark: SparkSession, d: str) -> DataFrame:
     """All sources by the chunker of their format; the chunkers are tested on fixtures."""
-    s = table(spark, d, "sources")
+    s = spread(table(spark, d, "sources").select("id", "content"), "id")
     return D.chunk_documents(s.select("id", "content", T.detect_format(F.col("content")).alias("format")))
 
 
 @register()
 def compressed_sources(spark: SparkSession, d: str) -> DataFrame:
-    return D.compress_documents(table(spark, d, "sources"))
+    return D.compress_documents(spread(table(spark, d, "sources").select("id", "content"), "id"))
 
 
 _COLS = ("id", "tool_name", "query_text", "result_count", "latency_ms", "session_id", "tokens_spent", "skill_hit")

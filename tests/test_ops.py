@@ -181,3 +181,13 @@ def test_percentiles_of_hot_keys(spark):
     got = {r.k: (r.p50, r.p95, r.p99) for r in telemetry.latency_percentiles(spark.createDataFrame(rows, "id int, k string, latency_ms long"), "k").collect()}
     s = sorted(i % 7 for i in range(100))
     assert got == {"t": (s[50], s[95], s[99]), "u": (5, 5, 5)}
+
+
+def test_long_texts_without_sentence_ends():
+    import re
+    import time
+
+    start = time.time()
+    assert D.chunk_plain("word " * 40_000, 50, 100) and D.sentences("word " * 40_000) == [] and time.time() - start < 10
+    for t in ("A b. C d! E", "no end", "...", "a.  b?\n", "", ".x. y", "x!!  "):
+        assert D.sentences(t) == re.findall(r"[^.!?]+[.!?]+\s*", t), t
